@@ -14,6 +14,15 @@ def num(x) -> Column:
     return F.lit(float(x))
 
 
+def record(**parts) -> Column:
+    """A struct that remembers its parts, so that ``.x`` of a value being composed is the part itself
+    and not an extraction that drags the other parts along."""
+    cols = {k: num(v) for k, v in parts.items()}
+    out = F.struct(*[c.alias(k) for k, c in cols.items()])
+    out.__dict__.update(cols)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it several times in ``body``.
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from navlytics.functions import let, num
+from navlytics.functions import let, num, record
 from navlytics.functions import rotations as R
 from navlytics.functions import vectors as V
 
 
 def pose(loc: Column, quat: Column, vel: Column | None = None) -> Column:
     zero = V.vec(0.0, 0.0, 0.0)
-    return F.struct(loc.alias("loc"), quat.alias("quat"), (zero if vel is None else vel).alias("vel"))
+    return record(loc=loc, quat=quat, vel=zero if vel is None else vel)
 
 
 def identity() -> Column:

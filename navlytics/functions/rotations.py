@@ -6,12 +6,12 @@ import math
 
 from pyspark.sql import Column, functions as F
 
-from navlytics.functions import clip, let, num
+from navlytics.functions import clip, let, num, record
 from navlytics.functions import vectors as V
 
 
 def quat(w, x, y, z) -> Column:
-    return F.struct(num(w).alias("w"), num(x).alias("x"), num(y).alias("y"), num(z).alias("z"))
+    return record(w=w, x=x, y=y, z=z)
 
 
 def one() -> Column:
@@ -56,10 +56,10 @@ def _turn(q: Column, axis: str, angle, left: bool) -> Column:
     k = "xyz".index(axis)
     a, b = "xyz"[(k + 1) % 3], "xyz"[(k + 2) % 3]
     if left:
-        s1 = {axis: q[axis] * c + q.w * s, a: q[a] * c - q[b] * s, b: q[b] * c + q[a] * s}
+        s1 = {axis: getattr(q, axis) * c + q.w * s, a: getattr(q, a) * c - getattr(q, b) * s, b: getattr(q, b) * c + getattr(q, a) * s}
     else:
-        s1 = {axis: q[axis] * c + q.w * s, a: q[a] * c + q[b] * s, b: q[b] * c - q[a] * s}
-    return quat(q.w * c - q[axis] * s, s1["x"], s1["y"], s1["z"])
+        s1 = {axis: getattr(q, axis) * c + q.w * s, a: getattr(q, a) * c + getattr(q, b) * s, b: getattr(q, b) * c - getattr(q, a) * s}
+    return quat(q.w * c - getattr(q, axis) * s, s1["x"], s1["y"], s1["z"])
 
 
 def from_euler(angles, order: str = "xyz", reverse: bool = False) -> Column:
@@ -142,9 +142,8 @@ def compose_rotvecs(adj: Column, base: Column) -> Column:
 
 def unit_base(q: Column) -> Column:
     """STRUCT of the rotated x, y and z axes."""
-    return F.struct(*[
-        rotate(q, V.vec(*[1.0 if a == b else 0.0 for b in "xyz"])).alias(a) for a in "xyz"
-    ])
+    return let(matrix(q), lambda m: F.struct(
+        V.vec(m[0], m[3], m[6]).alias("x"), V.vec(m[1], m[4], m[7]).alias("y"), V.vec(m[2], m[5], m[8]).alias("z")))
 
 
 def matrix(q: Column) -> Column:

@@ -6,11 +6,11 @@ import math
 
 from pyspark.sql import Column, functions as F
 
-from navlytics.functions import clip, let, num
+from navlytics.functions import clip, let, num, record
 
 
 def vec(x, y, z) -> Column:
-    return F.struct(num(x).alias("x"), num(y).alias("y"), num(z).alias("z"))
+    return record(x=x, y=y, z=z)
 
 
 def add(a: Column, b: Column) -> Column:

@@ -223,8 +223,8 @@ SELECT event_id, round(nx,4)+0.0 AS bx, round(ny,4)+0.0 AS "by", round(nz,4)+0.0
 def telemetry_poses(t):
     d = geo(t)
     body = G.telemetry_pose("lat", "lon", "alt", "yaw", "pitch", "roll", _OR)
-    d = d.select("event_id", body.alias("b"))
-    d = d.withColumn("c", P.to_local(d.b, P.pose(V.vec(0.0, 0.0, 0.0), R.axis_quat("y", math.pi / 2))))
+    d = d.select("event_id", body.alias("b"), P.pose(V.vec(0.0, 0.0, 0.0), R.axis_quat("y", math.pi / 2)).alias("mount"))
+    d = d.withColumn("c", P.to_local(d.b, d.mount))
     return d.select("event_id", *[rnd(getattr(d.b.loc, k), 4).alias(f"b{k}") for k in "xyz"], rnd(d.b.quat.w).alias("bw"),
                     *[rnd(getattr(d.c.loc, k), 4).alias(f"c{k}") for k in "xyz"])
 
