@@ -67,7 +67,8 @@ class Ordered:
         self.keys = list(keys)
         self.order = order
         self.tie = tie
-        self.df = df.withColumn(SLICE, slice_column(df, order, tie, n))
+        # a frame that still carries its slices (see keep_slice) is not sketched again
+        self.df = df if SLICE in df.columns else df.withColumn(SLICE, slice_column(df, order, tie, n))
 
     def prefix(
         self,
@@ -77,9 +78,11 @@ class Ordered:
         last: Mapping[str, Column] | None = None,
         high: Mapping[str, Column] | None = None,
         rank: str | None = None,
+        keep_slice: bool = False,
     ) -> DataFrame:
         """Append columns: previous/next row's value, running sum, last non-null value so far,
         running maximum, and 1-based rank.  All running forms include the current row.
+        ``keep_slice`` leaves the slice column for another pass over the same keys and order.
         """
         lag, lead, total, last, high = (dict(m or {}) for m in (lag, lead, total, last, high))
         pos = F.struct(self.order, self.tie)
@@ -140,7 +143,7 @@ class Ordered:
             out[k] = F.greatest(F.col(f"__hgh_{k}"), F.col(f"__h_{k}"))
         if rank:
             out[rank] = F.coalesce(F.col("__n"), F.lit(0)) + F.col("__rn")
-        keep = [c for c in self.df.columns if c != SLICE and c not in out]
+        keep = [c for c in self.df.columns if (keep_slice or c != SLICE) and c not in out]
         return joined.select(*keep, *[c.alias(k) for k, c in out.items()])
 
 
@@ -158,6 +161,7 @@ def asof_backward(
     right_time: str,
     tie: str,
     payload: Sequence[str],
+    keep_slice: bool = False,
 ) -> DataFrame:
     """Each left row with the payload of the last right row at or before its time.
 
@@ -181,5 +185,6 @@ def asof_backward(
         F.struct(*payload).alias("__pay"),
     )
     both = a.unionByName(b)
-    filled = Ordered(both, keys, "__t", "__tie").prefix(last={"__hit": F.col("__pay")})
-    return filled.where("__row is not null").select("__row.*", *[F.col(f"__hit.{p}").alias(p) for p in payload])
+    filled = Ordered(both, keys, "__t", "__tie").prefix(last={"__hit": F.col("__pay")}, keep_slice=keep_slice)
+    out = [F.col(f"__hit.{p}").alias(p) for p in payload] + ([F.col(SLICE)] if keep_slice else [])
+    return filled.where("__row is not null").select("__row.*", *out)

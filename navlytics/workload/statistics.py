@@ -10,12 +10,18 @@ from navlytics.operators import quantiles as Q
 from navlytics.plans import tracking as T
 from navlytics.workload.base import OBS_SQL, PROJ_SQL, micros, observations, projected, query, rnd
 
-_FIN = f"""WITH {OBS_SQL}, fin AS (SELECT * FROM obs WHERE kp_id NOT IN (SELECT kp_id FROM obs WHERE frame_id = (SELECT max(frame_id) FROM obs))),
+# tracks: landmark = order, frame = part, so that lengths spread over the report's bins
+_FIN = f"""WITH {OBS_SQL.replace("l_orderkey AS frame_id, l_partkey AS kp_id", "l_partkey AS frame_id, l_orderkey AS kp_id")}, fin AS (SELECT * FROM obs WHERE kp_id NOT IN (SELECT kp_id FROM obs WHERE frame_id = (SELECT max(frame_id) FROM obs))),
 len AS (SELECT kp_id, count(*) AS track_len FROM fin GROUP BY 1)"""
 
 
+def _finished(t):
+    obs = observations(t).select(F.col("kp_id").alias("frame_id"), F.col("frame_id").alias("kp_id"), "du", "dv")
+    return T.finished_observations(obs, "kp_id", "frame_id")
+
+
 def _lengths(t):
-    return T.track_lengths(T.finished_observations(observations(t), "kp_id", "frame_id"), "kp_id")
+    return T.track_lengths(_finished(t), "kp_id")
 
 
 @query(f"{_FIN} SELECT least(track_len, 5) AS len_bin, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM len GROUP BY 1")
@@ -32,7 +38,7 @@ def track_percentiles(t):
 
 @query(f"{_FIN} SELECT round(quantile_cont(e, 0.5), 6) AS err_p50, round(quantile_cont(e, 0.841), 6) AS err_p84_1, round(quantile_cont(e, 0.977), 6) AS err_p97_7 FROM (SELECT sqrt(du*du+dv*dv) AS e FROM fin)")
 def error_percentiles(t):
-    d = T.finished_observations(observations(t), "kp_id", "frame_id").select(F.hypot("du", "dv").alias("e"))
+    d = _finished(t).select(F.hypot("du", "dv").alias("e"))
     q = Q.exact_quantiles(d, [], "e", T.ERROR_QUANTILES)
     return q.select(*[F.round(c, 6).alias(c) for c in q.columns])
 
