@@ -114,8 +114,8 @@ def block_best(
 
 def _merge_best(part: DataFrame, by: list[str], k: int) -> DataFrame:
     if k == 1:
-        best = part.groupBy(*by).agg(F.min(F.struct("score", "hay_id")).alias("b"))
-        return best.select(*by, F.lit(1).alias("rank"), F.col("b.hay_id").alias("hay_id"), F.col("b.score").alias("score"))
+        best = part.groupBy(*by).agg(F.min(F.struct("score", "hay_id")).alias("__best"))
+        return best.select(*by, F.lit(1).alias("rank"), F.col("__best.hay_id").alias("hay_id"), F.col("__best.score").alias("score"))
     w = W.partitionBy(*by).orderBy("score", "hay_id")
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*by, "rank", "hay_id", "score")
 
