@@ -17,18 +17,32 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from navlytics.operators.ordered import asof_backward
+from navlytics.operators.ordered import Ordered, asof_backward
 
 KEYFRAME_OUT = "session BIGINT, frame_id BIGINT, t DOUBLE, track_no INT, is_keyframe BOOLEAN, reason STRING, kf_count INT, window ARRAY<BIGINT>"
 KEYFRAME_STATE = "last_t DOUBLE, track_no INT, kf_t DOUBLE, w DOUBLE, x DOUBLE, y DOUBLE, z DOUBLE, kf_count INT, window ARRAY<BIGINT>"
 
 
+def thin_window(ids: list[int], limit: int, fifo: int) -> list[int]:
+    """Keyframe numbers to keep: the newest ``fifo`` and, before them, gaps close to an exponential
+    spacing; the number whose gap falls shortest is dropped until ``limit`` remain."""
+    ids = list(ids)
+    if fifo >= limit:
+        return ids[-limit:]
+    while len(ids) > limit:
+        n = len(ids) - fifo
+        want = 10 ** (1 - np.arange(n) / n)
+        ids.pop(int(np.argmax(want - np.diff(ids[: n + 1]))) + 1)
+    return ids
+
+
 def keyframe_stream(frames: DataFrame, max_keypoints: int = 315, min_kp_ratio: float = 0.7, rot_deg: float = 5.0, gap_sec: float = 6.0,
-                    fifo: int = 8, need_measure: bool = False) -> DataFrame:
+                    fifo: int = 8, need_measure: bool = False, limit: int | None = None) -> DataFrame:
     """Decide keyframes over (session, frame_id, t, n_kp, w, x, y, z, has_measure) rows.
 
     A session without frames for ``gap_sec`` starts a new track; its first frame is a keyframe (with a
-    measure if one is required).  Later ones need few keypoints or a rotation beyond the limit.
+    measure if one is required).  Later ones need few keypoints or a rotation beyond the limit.  The
+    window is first-in-first-out, or thinned to ``limit`` keyframes when that is larger than ``fifo``.
     """
 
     def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -52,7 +66,7 @@ def keyframe_stream(frames: DataFrame, max_keypoints: int = 315, min_kp_ratio: f
                 reason = "rotation" if math.degrees(ang) > rot_deg else None
             if reason:
                 kf_t, q, count = r.t, [r.w, r.x, r.y, r.z], count + 1
-                window = (window + [r.frame_id])[-fifo:]
+                window = thin_window(window + [r.frame_id], limit or fifo, fifo)
             rows.append((key[0], r.frame_id, r.t, track, reason is not None, reason, count, list(window)))
         state.update((last_t, track, kf_t, *map(float, q), count, window))
         yield pd.DataFrame(rows, columns=["session", "frame_id", "t", "track_no", "is_keyframe", "reason", "kf_count", "window"])
@@ -78,8 +92,17 @@ def drift_filter_stream(df: DataFrame, keep: float = 0.8) -> DataFrame:
 
 
 def session_tracks(df: DataFrame, ts: str, session: str, gap: str = "6 seconds", watermark: str = "1 minute") -> DataFrame:
-    """Uninterrupted tracks as native session windows; works on streams and tables."""
-    d = df.withWatermark(ts, watermark) if df.isStreaming else df
+    """Uninterrupted tracks: native session windows on a stream; on a table, gaps found slice by slice,
+    because a batch session window would sort a whole session in one task."""
+    if not df.isStreaming:
+        us = df.select(session, F.unix_micros(ts).alias("__us"), F.xxhash64(*df.columns).alias("__tie"))
+        width = F.expr(f"unix_micros(timestamp_seconds(0) + interval {gap})")
+        o = Ordered(us, [session], "__us", "__tie").prefix(lag={"__p": F.col("__us")}, keep_slice=True)
+        o = o.withColumn("__cut", F.coalesce((F.col("__us") - F.col("__p") >= width).cast("bigint"), F.lit(0).cast("bigint")))
+        o = Ordered(o, [session], "__us", "__tie").prefix(total={"__no": F.col("__cut")})
+        g = o.groupBy(session, "__no").agg(F.min("__us").alias("a"), F.max("__us").alias("b"), F.count(F.lit(1)).alias("frames"))
+        return g.select(session, F.timestamp_micros("a").alias("start"), F.timestamp_micros(F.col("b") + width).alias("end"), "frames")
+    d = df.withWatermark(ts, watermark)
     return d.groupBy(session, F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).alias("frames")).select(
         session, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "frames")
 
