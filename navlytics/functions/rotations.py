@@ -64,9 +64,12 @@ def _turn(q: Column, axis: str, angle, left: bool) -> Column:
 
 def from_euler(angles, order: str = "xyz", reverse: bool = False) -> Column:
     """Body-fixed axis rotations multiplied left to right (or right to left)."""
+    def turn(axis: str, angle):
+        return lambda q: _turn(q, axis, angle, reverse)
+
     out = None
     for angle, axis in zip(angles, order, strict=True):
-        out = axis_quat(axis, angle) if out is None else let(out, lambda q, x=axis, t=angle: _turn(q, x, t, reverse))
+        out = axis_quat(axis, angle) if out is None else let(out, turn(axis, angle))
     return one() if out is None else out
 
 

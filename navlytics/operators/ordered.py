@@ -44,9 +44,11 @@ def slice_column(df: DataFrame, order: str, tie: str | None = None, n: int | Non
     probs = [i / n for i in range(1, n)]
     pts = df.agg(F.percentile_approx(order, probs, max(1000, 10 * n)).alias("p")).first()[0] or []
     uniq = sorted(set(pts))
-    col = _count_le(uniq, F.col(order)).cast("bigint") * _TIE_STRIDE
-    heavy = [v for v in uniq if pts.count(v) > 1]
-    if tie is None or not heavy:
+    # a heavy value gets its own odd slot, so that rows just above it still sort after its pieces
+    heavy = [v for v in uniq if pts.count(v) > 1] if tie else []
+    slot = _count_le(uniq, F.col(order)).cast("bigint") * 2
+    col = (slot - F.when(F.col(order).isin(heavy), 1).otherwise(0) if heavy else slot) * _TIE_STRIDE
+    if not heavy:
         return col
     subs = (
         df.where(F.col(order).isin(heavy))
