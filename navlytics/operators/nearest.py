@@ -15,6 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
+from navlytics.operators.skew import heavy_keys, salted_lookup
+
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 256
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.float64)
@@ -131,9 +133,30 @@ def knn_join(
     pivots: int | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Exact k nearest hay rows of every needle: (needle_id, rank, hay_id, score)."""
-    needles = needles.select(needle_id, vec)
+    """Exact k nearest hay rows of every needle: (needle_id, rank, hay_id, score).
+
+    Where copies of one vector pile up, only k of them stand for the hay side (the lowest ids win
+    ties anyway) and one for the needles, whose result is then handed to all copies.
+    """
+    needles = needles.select(needle_id, vec).withColumn("__vh", F.xxhash64(vec))
+    hay = hay.select(hay_id, vec).withColumn("__vh", F.xxhash64(vec))
+    if heavy_keys(hay, "__vh"):
+        w = W.partitionBy("__vh", vec).orderBy(hay_id)
+        hay = hay.withColumn("__c", F.row_number().over(w)).where(F.col("__c") <= k)
     hay = hay.select(hay_id, vec)
+    hot = heavy_keys(needles, "__vh")
+    if hot:
+        rep = needles.groupBy("__vh", vec).agg(F.min(needle_id).alias("__rep"))
+        found = _knn(rep.select("__rep", vec), hay, "__rep", hay_id, vec, k, metric, pivots, block_rows)
+        owner = salted_lookup(needles, rep, "__vh", heavy=hot, also=(vec,)).select(needle_id, "__rep")
+        # k result rows per representative: packed to one, so that the lookup stays one row per key
+        packed = found.groupBy("__rep").agg(F.collect_list(F.struct("rank", "hay_id", "score")).alias("__l"))
+        out = salted_lookup(owner, packed, "__rep").select(needle_id, F.explode("__l").alias("__r"))
+        return out.select(needle_id, "__r.rank", "__r.hay_id", "__r.score")
+    return _knn(needles.select(needle_id, vec), hay, needle_id, hay_id, vec, k, metric, pivots, block_rows)
+
+
+def _knn(needles: DataFrame, hay: DataFrame, needle_id: str, hay_id: str, vec: str, k: int, metric: str, pivots: int | None, block_rows: int) -> DataFrame:
     if pivots is None:
         pivots = min(MAX_PIVOTS, 1 + hay.count() // block_rows)
     rows = hay.orderBy(F.xxhash64(hay_id), hay_id).limit(min(pivots, MAX_PIVOTS)).select(vec).collect()

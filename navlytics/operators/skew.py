@@ -17,20 +17,21 @@ def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> list:
 
 
 def salted_lookup(big: DataFrame, lookup: DataFrame, key: str, how: str = "inner", heavy: list | None = None,
-                  salts: int = 64) -> DataFrame:
+                  salts: int = 64, also: tuple[str, ...] = ()) -> DataFrame:
     """Equi-join a large frame with a one-row-per-key lookup, spreading heavy keys over salts.
 
+    ``also`` names further join columns, for keys that are hashes.
     Rows of heavy keys get a salt from their own content; only the heavy lookup rows (at most
     1/HEAVY_SHARE of them) are repeated once per salt.
     """
     heavy = heavy_keys(big, key) if heavy is None else heavy
     if not heavy:
-        return big.join(lookup, key, how)
+        return big.join(lookup, [key, *also], how)
     hot = F.col(key).isin(heavy)
     salt = F.when(hot, F.pmod(F.xxhash64(*big.columns), F.lit(salts))).otherwise(F.lit(0)).cast("int")
     reps = F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     return (
         big.withColumn("__salt", salt)
-        .join(lookup.withColumn("__salt", F.explode(reps)), [key, "__salt"], how)
+        .join(lookup.withColumn("__salt", F.explode(reps)), [key, *also, "__salt"], how)
         .drop("__salt")
     )

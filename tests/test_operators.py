@@ -82,6 +82,15 @@ def test_knn_join_is_exact_with_clusters_and_copies(spark, metric):
     np.testing.assert_array_equal(got.hay_id.to_numpy().reshape(-1, 2), want)
 
 
+def test_knn_join_collapses_piles_of_copies(spark):
+    p = [[float(i % 7), 0.0] if i % 3 else [1.0, 1.0] for i in range(4500)]
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(p)], "a long, v array<double>")
+    got = nearest.knn_join(d, d.withColumnRenamed("a", "b"), "a", "b", "v", 2, pivots=4, block_rows=500)
+    bad = got.where("score <> 0").count()
+    assert got.count() == 9000 and bad == 0
+    assert {r.hay_id for r in got.where("a % 3 = 0").select("hay_id").distinct().collect()} == {0, 3}
+
+
 def _crowd(n=400):
     rng = np.random.default_rng(3)
     p = pd.DataFrame({"img": 0, "x": rng.uniform(0, 100, n), "y": rng.uniform(0, 100, n), "o": np.arange(n)})
