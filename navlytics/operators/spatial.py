@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from navlytics.operators.skew import heavy_keys, salted_lookup
 from navlytics.session import cut_lineage
 
 _OFFSETS = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if (i, j) != (0, 0)]
@@ -35,20 +36,30 @@ def _dist(ax, ay, bx, by) -> Column:
     return F.sqrt((ax - bx) ** 2 + (ay - by) ** 2)
 
 
+def _cell_join(many: DataFrame, one: DataFrame, cell: list[str], points: DataFrame) -> DataFrame:
+    """Join rows with their cell's single row; crowded cells are salted where there are any."""
+    key = F.xxhash64(*cell)
+    if not heavy_keys(points.select(key.alias("__k")), "__k"):
+        return many.join(one, cell)
+    return salted_lookup(many.withColumn("__k", key), one.withColumn("__k", key), "__k", also=tuple(cell)).drop("__k")
+
+
 def keep_spaced(df: DataFrame, image: Sequence[str], x: str, y: str, order: str, limit: float) -> DataFrame:
     """Rows farther than ``limit`` from every earlier row of their image, kept or not.
 
     ``order`` is unique inside an image.  Not iterative, because rejected rows also suppress.
     """
     img = list(image)
-    pts = _cells(df, x, y, limit)
+    # of copies at one spot only the earliest can survive, and it suppresses whatever the others do
+    spots = df.groupBy(*img, x, y).agg(F.min(order).alias(order))
+    pts = _cells(spots, x, y, limit)
     cell = [*img, "__cx", "__cy"]
     first = pts.groupBy(*cell).agg(F.min_by(F.struct(F.col(order).alias("o"), F.col(x).alias("x"), F.col(y).alias("y")), order).alias("__f"))
     # a later point of a cell is always within the limit of the cell's first one
     seen = pts.select(*img, F.col(order).alias("__o"), F.col(x).alias("__x"), F.col(y).alias("__y"),
                       F.explode(_neighbours()).alias("__nb")).select(
         *img, F.col("__nb.__cx").alias("__cx"), F.col("__nb.__cy").alias("__cy"), "__o", "__x", "__y")
-    hit = seen.join(first, cell).where(
+    hit = _cell_join(seen, first, cell, pts).where(
         (F.col("__o") < F.col("__f.o")) & (_dist(F.col("__x"), F.col("__y"), F.col("__f.x"), F.col("__f.y")) <= limit)
     ).select(*img, F.col("__f.o").alias(order)).distinct()
     survivors = first.select(*img, F.col("__f.o").alias(order)).join(hit, [*img, order], "left_anti")
@@ -63,7 +74,9 @@ def suppress_greedy(df: DataFrame, image: Sequence[str], x: str, y: str, rank: s
     """
     img = list(image)
     cell = [*img, "__cx", "__cy"]
-    alive = _cells(df.select(*img, F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(rank).alias("__r")), "__x", "__y", limit)
+    # the best of several copies at one spot decides for all of them
+    spots = df.groupBy(*img, F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.min(rank).alias("__r"))
+    alive = _cells(spots, "__x", "__y", limit)
     alive = cut_lineage(alive)
     kept: DataFrame | None = None
     while True:
@@ -71,13 +84,13 @@ def suppress_greedy(df: DataFrame, image: Sequence[str], x: str, y: str, rank: s
         around = alive.select(*img, "__r", "__x", "__y", F.explode(_neighbours()).alias("__nb")).select(
             *img, F.col("__nb.__cx").alias("__cx"), F.col("__nb.__cy").alias("__cy"), "__r", "__x", "__y")
         reach = _dist(F.col("__x"), F.col("__y"), F.col("__f.__x"), F.col("__f.__y")) < limit
-        beaten = around.join(best, cell).where(reach & (F.col("__r") < F.col("__f.__r"))).select(*cell).distinct()
+        beaten = _cell_join(around, best, cell, alive).where(reach & (F.col("__r") < F.col("__f.__r"))).select(*cell).distinct()
         won = cut_lineage(best.join(beaten, cell, "left_anti"))
         kept = won if kept is None else kept.unionByName(won)
         rest = alive.join(won.select(*cell), cell, "left_anti")
         near = rest.select(*img, "__r", "__x", "__y", "__cx", "__cy", F.explode(_neighbours()).alias("__nb"))
-        gone = near.select(*img, "__r", "__x", "__y", F.col("__nb.__cx").alias("__cx"), F.col("__nb.__cy").alias("__cy")).join(
-            won, cell).where(reach).select(*img, "__r").distinct()
+        spread = near.select(*img, "__r", "__x", "__y", F.col("__nb.__cx").alias("__cx"), F.col("__nb.__cy").alias("__cy"))
+        gone = _cell_join(spread, won, cell, alive).where(reach).select(*img, "__r").distinct()
         alive = cut_lineage(rest.join(gone, [*img, "__r"], "left_anti"))
         if alive.isEmpty():
             break
