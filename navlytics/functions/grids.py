@@ -31,10 +31,12 @@ def nearest_grid_point(a, b, tol: float) -> Column:
     The grid depends on the tolerance only, so it is a literal of the plan.
     """
     pts = direction_grid(tol)
-    grid = F.arrays_zip(F.sequence(F.lit(0), F.lit(len(pts) - 1)).alias("i"), F.lit([p[0] for p in pts]).alias("lat"), F.lit([p[1] for p in pts]).alias("lon"))
+    grid = F.arrays_zip(F.lit([p[0] for p in pts]).alias("la"), F.lit([p[1] for p in pts]).alias("lo"))
 
-    def dist(p: Column) -> Column:
-        return F.struct(F.hypot(V.wrap_rads(p["1"] - num(a)), V.wrap_rads(p["2"] - num(b))).alias("dist"), p["0"].alias("idx"), p["1"].alias("lat"), p["2"].alias("lon"))
+    def dist(p: Column, i: Column) -> Column:
+        d = F.hypot(V.wrap_rads(p["la"] - num(a)), V.wrap_rads(p["lo"] - num(b)))
+        # rounded, so that mirror-image points tie and the first wins
+        return F.struct(F.round(d, 9).alias("dist"), i.alias("idx"), p["la"].alias("lat"), p["lo"].alias("lon"))
 
     return F.array_min(F.transform(grid, dist))
 
