@@ -9,8 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from navlytics.operators.nearest import block_best
+from navlytics.operators.quantiles import with_group_values
+
 
 def _spread(df: DataFrame, keys: list[str], axis: str, half: int, size: int, sums: list[str], mirror: bool) -> DataFrame:
     """Sum columns over an axis window; outside positions mirror about the edge pixel."""
@@ -119,7 +124,28 @@ def ground_resolution(df: DataFrame, x: str, y: str) -> DataFrame:
     right = df.select("row", (F.col("col") - 1).alias("col"), F.col(x).alias("__x"))
     a = df.join(nxt, ["row", "col"]).agg(F.avg(F.abs(F.col("__y") - F.col(y))).alias("res_y"))
     b = df.join(right, ["row", "col"]).agg(F.avg(F.abs(F.col("__x") - F.col(x))).alias("res_x"))
-    return a.join(b)
+    return with_group_values(a, b, [])
+
+
+def bilinear_or_nearest(points: DataFrame, pixels: DataFrame, image: Sequence[str], x: str, y: str, value: str, ident: str, max_dist: float,
+                        background: float | None = None) -> DataFrame:
+    """Bilinear value; where all four neighbours are missing, the nearest present pixel of the image
+    within ``max_dist``.  ``ident`` is a unique id of the points; ties go to the first pixel in row order."""
+    good = pixels.where(F.col(value).isNotNull())
+    if background is not None:
+        good = good.where(F.col(value) < background * 0.999)
+    b = bilinear(points, pixels, image, x, y, value, background)
+    lost = b.where("interp is null").select(*image, ident, F.col(x).alias("__x"), F.col(y).alias("__y"))
+    order = F.col("row").cast("bigint") * 1_000_000 + F.col("col")
+    hay = good.select(*image, order.alias("__px"), F.col("row").cast("double").alias("__r"), F.col("col").cast("double").alias("__c"), value)
+
+    def score(p: pd.DataFrame, q: pd.DataFrame) -> np.ndarray:
+        d = np.hypot(p["__x"].to_numpy()[:, None] - q["__c"].to_numpy()[None], p["__y"].to_numpy()[:, None] - q["__r"].to_numpy()[None])
+        return np.where(d <= max_dist, d, np.inf)
+
+    near = block_best(lost, hay.drop(value), ident, "__px", score, 1, list(image)).select(*image, ident, F.col("hay_id").alias("__px"))
+    near = near.join(hay.select(*image, "__px", F.col(value).alias("__near")), [*image, "__px"]).select(ident, "__near")
+    return b.join(near, ident, "left").withColumn("interp", F.coalesce("interp", "__near")).drop("__near")
 
 
 # ---- per-pixel value functions ----------------------------------------------------------------

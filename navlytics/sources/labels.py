@@ -62,3 +62,8 @@ def result_errors(df: DataFrame) -> DataFrame:
     return df.select(
         "*", (1000.0 * F.hypot(fix("ex"), fix("ey")) / dist).alias("lat_err"), (1000.0 * F.abs(fix("ez")) / dist).alias("dist_err"),
         F.isnan("ex").alias("failed"))
+
+
+def write_state_tsv(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Tab-separated state or result log with a header, appended run by run."""
+    df.write.mode(mode).option("sep", "\t").option("header", True).csv(path)

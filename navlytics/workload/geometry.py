@@ -377,3 +377,17 @@ def landmark_parallax(t):
     d = projected(t)
     d = d.select("kp_id", "frame_id", "pt", P.centre(P.pose(d.loc, d.quat)).alias("centre"))
     return d.select("kp_id", "frame_id", rnd(V.parallax(d.centre, V.vec(0.0, 0.0, 0.0), d.pt), 5).alias("parallax"))
+
+
+_wb = "(n2/(n2+1.25*n3))"
+
+
+@query(f"""{_PAIR_SQL}, s AS (SELECT p.*, 10.0 + id % 30 AS n2, 5.0 + id % 50 AS n3 FROM p), g AS (SELECT *, CASE WHEN {_ang} >= {PI} THEN 2*{PI}-{_ang} ELSE {_ang} END AS ab FROM s)
+SELECT id, round(ux + (vx-ux)*n2/(n2+12.5*n3), 6)+0.0 AS x, round(ab*{_wb}, 5)+0.0 AS turned FROM g WHERE ab < 3.14""")
+def mixed_pose_blend(t):
+    """Blend of a 3-D and a 2-D pose solution, weighted by their point counts."""
+    d = pairs(t).withColumns({"n2": 10.0 + F.col("id") % 30, "n3": 5.0 + F.col("id") % 50})
+    a, b, n2, n3 = (F.col(c) for c in ("a", "b", "n2", "n3"))
+    d = d.withColumn("ab", R.angle_between(a, b)).where("ab < 3.14")
+    d = d.select("id", "a", R.weighted_pair_mean(a, 1.25 * n3, b, n2).alias("q"), (F.col("u.x") + (F.col("v.x") - F.col("u.x")) * n2 / (n2 + 12.5 * n3)).alias("x"))
+    return d.select("id", rnd(F.col("x")).alias("x"), rnd(R.angle_between(F.col("a"), F.col("q")), 5).alias("turned"))

@@ -53,6 +53,17 @@ def bilinear_lookup(t):
     return X.bilinear(p, tiles(t), ["img"], "x", "y", "val").select("img", rnd(F.col("interp")).alias("interp"))
 
 
+@query(f"""WITH {_PX}, p AS (SELECT vec_id AS img, (vec_id % 61) / 10.0 AS x, (vec_id % 67) / 10.0 AS y FROM embeddings), f AS (SELECT * FROM px WHERE val > 0.2),
+n AS (SELECT p.img, val, row_number() OVER (PARTITION BY p.img ORDER BY sqrt(pow(x-col,2)+pow(y-row,2)), row, col) AS r, sqrt(pow(x-col,2)+pow(y-row,2)) AS d FROM p JOIN f ON f.img = p.img),
+b AS (SELECT p.img, sum(val * w) / nullif(sum(w), 0) AS v FROM (SELECT p.*, val, (CASE WHEN row = floor(y) THEN 1-(y-floor(y)) ELSE y-floor(y) END) * (CASE WHEN col = floor(x) THEN 1-(x-floor(x)) ELSE x-floor(x) END) AS w
+ FROM p JOIN f ON f.img = p.img AND row IN (floor(y), floor(y)+1) AND col IN (floor(x), floor(x)+1)) p GROUP BY 1)
+SELECT p.img, round(coalesce(b.v, n.val), 6)+0.0 AS interp FROM p LEFT JOIN b ON b.img = p.img LEFT JOIN n ON n.img = p.img AND n.r = 1 AND n.d <= 3""")
+def bilinear_with_fallback(t):
+    p = t.embeddings.select(F.col("vec_id").alias("img"), (F.col("vec_id") % 61 / 10.0).alias("x"), (F.col("vec_id") % 67 / 10.0).alias("y"), F.col("vec_id").alias("pid"))
+    px = tiles(t).where("val > 0.2")
+    return X.bilinear_or_nearest(p, px, ["img"], "x", "y", "val", "pid", 3.0).select("img", rnd(F.col("interp")).alias("interp"))
+
+
 @query(f"WITH {_PX} SELECT img, row // 2 AS row, col // 2 AS col, round(avg(raw), 6)+0.0 AS raw FROM px GROUP BY 1, 2, 3")
 def area_resample(t):
     return X.downsample(tiles(t), ["img"], "raw", 2).select("img", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), rnd(F.col("raw")).alias("raw"))

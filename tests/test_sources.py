@@ -62,3 +62,15 @@ def test_dataset_roundtrip(spark, tmp_path):
     assert got.count() == 3 and got.where("batch_id = 1").count() == 1
     new = D.update_points(got, spark.createDataFrame([(1, 9.0, 9.0, 9.0)], "pt3d_id long, x double, y double, z double"))
     assert {r.pt3d_id: r.x for r in new.collect()} == {0: 1.0, 1: 9.0, 2: 1.0}
+
+
+def test_mission_registry_and_state_log(spark, tmp_path):
+    from navlytics.sources import missions
+
+    missions.register(missions.Mission("toy", {"rows": lambda s, p: s.range(int(p))}))
+    assert missions.get("toy").load(spark, "3")["rows"].count() == 3
+    with pytest.raises(KeyError):
+        missions.get("none")
+    for _ in range(2):
+        L.write_state_tsv(spark.range(2), str(tmp_path / "log"))
+    assert spark.read.csv(str(tmp_path / "log"), sep="\t", header=True).count() == 4
