@@ -143,7 +143,10 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
-def read_stream(spark: SparkSession, folder: str, file_glob: str, files_per_trigger: int = 100) -> DataFrame:
-    """Parquet files of a folder as a stream with the schema of what is there."""
+def read_stream(spark: SparkSession, folder: str, file_glob: str, bytes_per_trigger: int = 256 * 1024 * 1024) -> DataFrame:
+    """Parquet files of a folder as a stream with the schema of what is there.
+
+    The byte limit bounds a micro-batch, and with it the frame rows of one session in one task.
+    """
     schema = spark.read.option("pathGlobFilter", file_glob).parquet(folder).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", file_glob).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    return spark.readStream.schema(schema).option("pathGlobFilter", file_glob).option("maxBytesPerTrigger", bytes_per_trigger).parquet(folder)

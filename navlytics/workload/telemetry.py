@@ -53,17 +53,17 @@ _AS_F = "f AS (SELECT user_id, event_id, epoch_us(ts)/1e6 AS t FROM events WHERE
 
 @query(f"""WITH {_AS_F}, a AS (SELECT f.*, m.mid, m.mt FROM f ASOF LEFT JOIN m ON f.user_id = m.user_id AND f.t + 600 >= m.mt),
 b AS (SELECT *, mid IS NOT NULL AND mid IS DISTINCT FROM lag(mid) OVER (PARTITION BY user_id ORDER BY t, event_id) AS fresh FROM a)
-SELECT user_id, event_id, CASE WHEN fresh THEN mid END AS measure_id, CASE WHEN fresh THEN round(mt - t, 4) END AS time_off FROM b""")
+SELECT user_id, event_id, CAST(CASE WHEN fresh THEN mid END AS DOUBLE) AS measure_id, CASE WHEN fresh THEN round(mt - t, 4) END AS time_off FROM b""")
 def asof_measurement(t):
     e = t.events.withColumn("t", micros("ts") / 1e6)
     f = e.where("event_type <> 'view'").select("user_id", "event_id", "t")
     m = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("mid"), F.col("t").alias("mt"))
     d = S.attach_measures(f, m, ["user_id"], "t", "mt", "event_id", "mid", 600.0)
-    return d.select("user_id", "event_id", "measure_id", F.round("time_off", 4).alias("time_off"))
+    return d.select("user_id", "event_id", F.col("measure_id").cast("double").alias("measure_id"), F.round("time_off", 4).alias("time_off"))
 
 
 @query(f"""WITH {_AS_F}, a AS (SELECT f.*, m.mid AS lesser FROM f ASOF LEFT JOIN m ON f.user_id = m.user_id AND f.t > m.mt)
-SELECT a.user_id, a.event_id, a.lesser, m.mid AS greater FROM a ASOF LEFT JOIN m ON a.user_id = m.user_id AND a.t < m.mt""")
+SELECT a.user_id, a.event_id, CAST(a.lesser AS DOUBLE) AS lesser, CAST(m.mid AS DOUBLE) AS greater FROM a ASOF LEFT JOIN m ON a.user_id = m.user_id AND a.t < m.mt""")
 def nearest_lesser_greater(t):
     """Predecessor and successor in time; the successor is the predecessor on the reversed axis."""
     e = t.events.withColumn("t", micros("ts"))
@@ -71,7 +71,8 @@ def nearest_lesser_greater(t):
     m = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("lesser"), (F.col("t") + 1).alias("mt"))
     a = asof_backward(f, m, ["user_id"], "t", "mt", "event_id", ["lesser"])
     g = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("greater"), (-F.col("t") + 1).alias("mt"))
-    return asof_backward(a, g, ["user_id"], "nt", "mt", "event_id", ["greater"]).drop("t", "nt")
+    return asof_backward(a, g, ["user_id"], "nt", "mt", "event_id", ["greater"]).select(
+        "user_id", "event_id", F.col("lesser").cast("double").alias("lesser"), F.col("greater").cast("double").alias("greater"))
 
 
 @query("""WITH s AS (SELECT event_id, user_id, ts, avg(value) OVER w AS v FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))
