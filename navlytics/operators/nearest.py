@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from navlytics.operators.skew import heavy_keys, salted_lookup
 
 BLOCK_ROWS = 2048
-MAX_PIVOTS = 256
+MAX_PIVOTS = 1024
+STRIP = 512
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.float64)
 
 
@@ -166,9 +167,12 @@ def _knn(needles: DataFrame, hay: DataFrame, needle_id: str, hay_id: str, vec: s
 
     @F.pandas_udf("struct<cell:int,r:double>")
     def home(v: pd.Series) -> pd.DataFrame:
-        d = pair_distances(stack(v, metric), piv, metric)
-        c = d.argmin(1)
-        return pd.DataFrame({"cell": c.astype("int32"), "r": d[np.arange(len(d)), c]})
+        x, cells, radius = stack(v, metric), [], []
+        for s in range(0, len(x), STRIP):
+            d = pair_distances(x[s : s + STRIP], piv, metric)
+            cells.append(d.argmin(1))
+            radius.append(d.min(1))
+        return pd.DataFrame({"cell": np.concatenate(cells).astype("int32"), "r": np.concatenate(radius)})
 
     placed = hay.withColumn("__h", home(vec)).select(hay_id, vec, F.col("__h.cell").alias("cell"), F.col("__h.r").alias("r"))
     w = W.partitionBy("cell").orderBy("r")
@@ -185,12 +189,16 @@ def _knn(needles: DataFrame, hay: DataFrame, needle_id: str, hay_id: str, vec: s
 
     @F.pandas_udf("array<int>")
     def reachable(v: pd.Series) -> pd.Series:
-        d = pair_distances(stack(v, metric), piv, metric)
-        upper = np.partition((d[:, :, None] + radii[None]).reshape(len(d), -1), k - 1, axis=1)[:, k - 1]
-        lower = np.maximum(np.maximum(d - hi[None], lo[None] - d), 0.0)
-        ok = lower <= (upper + 1e-9 * (1.0 + np.where(np.isfinite(upper), upper, 0.0)))[:, None]
-        ok &= np.isfinite(lo)[None]
-        return pd.Series([np.nonzero(o)[0].astype("int32") for o in ok])
+        x, out = stack(v, metric), []
+        for s in range(0, len(x), STRIP):
+            d = pair_distances(x[s : s + STRIP], piv, metric)
+            # k-th smallest of "through the pivot" distances bounds the k-th nearest from above
+            upper = np.partition((d[:, :, None] + radii[None]).reshape(len(d), -1), k - 1, axis=1)[:, k - 1]
+            lower = np.maximum(np.maximum(d - hi[None], lo[None] - d), 0.0)
+            ok = lower <= (upper + 1e-9 * (1.0 + np.where(np.isfinite(upper), upper, 0.0)))[:, None]
+            ok &= np.isfinite(lo)[None]
+            out += [np.nonzero(o)[0].astype("int32") for o in ok]
+        return pd.Series(out)
 
     routed = needles.withColumn("cell", F.explode(reachable(vec)))
 
