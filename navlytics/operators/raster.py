@@ -176,3 +176,20 @@ def colour_correct(b: Column, g: Column, r: Column, mx: list[list[float]], max_v
 def stretch(v: Column, lo: Column, hi: Column, gamma: float, max_val: float = 255.0) -> Column:
     n = F.greatest(F.least((v - lo) / (hi - lo), F.lit(1.0)), F.lit(0.0))
     return F.pow(n, F.lit(1.0 / gamma)) * max_val
+
+
+def box_extremes(df: DataFrame, image: Sequence[str], value: str, k: int, rows: int, cols: int) -> DataFrame:
+    """(image, row, col, lo, hi): extremes of the k x k box, rows first and columns second."""
+    half = k // 2
+    d = df.select(*image, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col(value).alias("lo"), F.col(value).alias("hi"))
+    for axis, size in (("row", rows), ("col", cols)):
+        at = F.col(axis)
+        d = d.withColumn(axis, F.explode(F.sequence(F.greatest(at - half, F.lit(0)), F.least(at + half, F.lit(size - 1)))))
+        d = d.groupBy(*image, "row", "col").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return d
+
+
+def bright_enough(points: DataFrame, df: DataFrame, image: Sequence[str], value: str, k: int, rows: int, cols: int, lo: float, hi: float) -> DataFrame:
+    """Points (image, row, col) whose surrounding box reaches ``hi`` at its brightest and stays over ``lo``."""
+    b = box_extremes(df, image, value, k, rows, cols).where((F.col("lo") >= lo) & (F.col("hi") >= hi))
+    return points.join(b.select(*image, "row", "col"), [*image, "row", "col"], "left_semi")

@@ -152,3 +152,18 @@ def join_batches(obs: DataFrame, batch: str, ids: Sequence[str], sizes: DataFram
     w = W.orderBy(batch).rowsBetween(W.unboundedPreceding, -1)
     off = sizes.select(batch, *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"__o_{c}") for c in ids])
     return obs.join(off, batch).withColumns({c: F.col(c) + F.col(f"__o_{c}") for c in ids}).drop(*[f"__o_{c}" for c in ids])
+
+
+def batch_membership(obs: DataFrame, point: str, batch: str, frozen_from: int = 2) -> DataFrame:
+    """(point, batches, bits, frozen): which batches see a point as a bit set (batch numbers below 63),
+    frozen when fewer than ``frozen_from`` batches do."""
+    bits = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(batch).cast("int"))
+    g = obs.groupBy(point).agg(F.bit_or(bits).alias("bits"))
+    return g.select(point, F.bit_count("bits").cast("bigint").alias("batches"), "bits", (F.bit_count("bits") < frozen_from).alias("frozen"))
+
+
+def viewpoint_angle(point: Column, shift: Column) -> Column:
+    """Angle under which a point appears moved when the camera translates by ``shift``."""
+    from navlytics.functions import vectors as V
+
+    return V.angle_between(point, V.add(point, shift))

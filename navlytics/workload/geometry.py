@@ -391,3 +391,13 @@ def mixed_pose_blend(t):
     d = d.withColumn("ab", R.angle_between(a, b)).where("ab < 3.14")
     d = d.select("id", "a", R.weighted_pair_mean(a, 1.25 * n3, b, n2).alias("q"), (F.col("u.x") + (F.col("v.x") - F.col("u.x")) * n2 / (n2 + 12.5 * n3)).alias("x"))
     return d.select("id", rnd(F.col("x")).alias("x"), rnd(R.angle_between(F.col("a"), F.col("q")), 5).alias("turned"))
+
+
+_lu = q_rot("a", [f"{x}/{_norm(_VV)}" for x in _VV], True)
+
+
+@query(f"""{_PAIR_SQL} SELECT id, {_vsel(_lu, ('x', 'y', 'z'))}, round(sqrt(pow(ux-vx,2)+pow(uy-vy,2))/abs(vz),6)+0.0 AS lateral, round(abs(uz-vz)/abs(vz),6)+0.0 AS distance FROM p""")
+def system_state_errors(t):
+    """Light direction in the spacecraft frame and relative position errors."""
+    d = pairs(t).select("id", Y.light_direction(F.col("v"), F.col("a")).alias("l"), Y.position_errors(F.col("u"), F.col("v")).alias("e"))
+    return d.select("id", *_cols(d.l, "", "xyz"), rnd(d.e.lateral).alias("lateral"), rnd(d.e.distance).alias("distance"))

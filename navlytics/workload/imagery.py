@@ -195,3 +195,10 @@ def camera_rows(t):
                           F.array(F.col("s_nationkey").cast("double"), F.lit(0.1)).alias("dist"))
     d = D.camera_row(s, 0.5)
     return d.select("sensor_id", "fx", "width", F.size("dist").alias("n"), F.col("dist")[0].alias("d0"), F.col("dist")[7].alias("d7"))
+
+
+@query(f"""WITH {_PX}, p AS (SELECT vec_id AS img, CAST(vec_id % 8 AS INTEGER) AS row, CAST(vec_id // 8 % 8 AS INTEGER) AS col FROM embeddings)
+SELECT p.img FROM p JOIN px ON px.img = p.img AND abs(px.row-p.row) <= 1 AND abs(px.col-p.col) <= 1 GROUP BY 1 HAVING min(raw) >= -0.2 AND max(raw) >= 0.1""")
+def brightness_window(t):
+    p = t.embeddings.select(F.col("vec_id").alias("img"), (F.col("vec_id") % 8).cast("int").alias("row"), (F.floor(F.col("vec_id") / 8) % 8).cast("int").alias("col"))
+    return X.bright_enough(p, tiles(t), ["img"], "raw", 3, 8, 8, -0.2, 0.1).select("img")

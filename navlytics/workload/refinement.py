@@ -174,3 +174,28 @@ def resection(t):
     d = projected(t).select("frame_id", "kp_id", "pt", (F.col("cam.x") / F.col("cam.z")).alias("x"), (F.col("cam.y") / F.col("cam.z")).alias("y"))
     r = A.resection_ransac(d, "frame_id", "kp_id", 8.0 / 500, trials=8)
     return r.select("frame_id", "inliers")
+
+
+@query(f"""WITH {FRAMES_SQL} SELECT frame_id, round(qw, 4)+0.0 AS w, round(qx, 4)+0.0 AS x, round(qy, 4)+0.0 AS y, round(qz, 4)+0.0 AS z FROM frames""")
+def rotation_alignment(t):
+    """Rotation recovered from three mapped vectors per frame."""
+    f = frames(t).withColumn("src", F.explode(F.array(V.vec(1.0, 0.2, 0.0), V.vec(0.0, 1.0, -0.3), V.vec(0.5, 0.0, 1.0))))
+    f = f.select("frame_id", "src", R.rotate(F.col("quat"), F.col("src")).alias("dst"))
+    d = A.align_rotation(f, ["frame_id"], "src", "dst")
+    return d.select("frame_id", *[rnd(F.col(f"quat.{k}"), 4).alias(k) for k in "wxyz"])
+
+
+@query("""SELECT l_partkey, count(DISTINCT l_linenumber) AS batches, bit_or(1::BIGINT << l_linenumber) AS bits, count(DISTINCT l_linenumber) < 2 AS frozen FROM lineitem GROUP BY 1""")
+def batch_membership(t):
+    from navlytics.plans.mapping import batch_membership as membership
+
+    return membership(t.lineitem, "l_partkey", "l_linenumber")
+
+
+@query(f"""{PROJ_SQL} SELECT frame_id, kp_id, round(degrees(acos(least(greatest((cx*(cx+lx)+cy*(cy+ly)+cz*(cz+lz))/(sqrt(cx*cx+cy*cy+cz*cz)*sqrt(pow(cx+lx,2)+pow(cy+ly,2)+pow(cz+lz,2))),-1),1))),3) AS deg
+ FROM proj WHERE degrees(acos(least(greatest((cx*(cx+lx)+cy*(cy+ly)+cz*(cz+lz))/(sqrt(cx*cx+cy*cy+cz*cz)*sqrt(pow(cx+lx,2)+pow(cy+ly,2)+pow(cz+lz,2))),-1),1))) > 3""")
+def viewpoint_angles(t):
+    from navlytics.plans.mapping import viewpoint_angle
+
+    d = projected(t).withColumn("deg", F.degrees(viewpoint_angle(F.col("cam"), F.col("loc")))).where("deg > 3")
+    return d.select("frame_id", "kp_id", F.round("deg", 3).alias("deg"))
