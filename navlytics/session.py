@@ -26,16 +26,31 @@ def get_spark(app: str = "navlytics", cpus: str | None = None) -> SparkSession:
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder named by spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Only where neither the setting nor a folder exists (plain local tests) a temporary one is set.
+    Unset, a temporary folder serves a local master (plain tests); on a cluster that is an error, since
+    executors cannot see each other's temporary folders.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = _own.setdefault(sc.applicationId, "")
+        if not named:
+            named = _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="navlytics-shared-")
+    return named.rstrip("/")
+
+
+_own: dict[str, str] = {}
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint into the shared folder."""
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="navlytics-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
