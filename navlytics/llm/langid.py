@@ -1,8 +1,8 @@
 """Language identification by nearest centroid.
 
 A text is a normalised TF-IDF vector of hashed character n-grams. Each language has several centroids, clustered from a
-bounded sample of labelled rows. A text gets the language of the centroid with the greatest cosine; one that lies further
-from every centroid than labelled texts of its length ever do is rejected.
+bounded sample of labelled rows. A text gets the language of the centroid with the greatest cosine; one that lies much
+further from it than labelled texts of its length ever do is rejected.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ DIMS, GRAMS = 4096, (1, 2, 3)
 SAMPLE = 600
 #: Centroids per language, rounds of the clustering.
 CLUSTERS, ROUNDS = 4, 10
-#: A text is rejected beyond this many times the distance (1 - cosine) that the sample's texts of its length show at most.
-REJECT = 1.15
+#: A text is rejected at a distance (1 - cosine) beyond the greatest of the sample's texts of its length plus this share of what lacks to 1.
+REJECT = 0.5
+#: Texts of fewer letters than this are rejected only beyond this distance: they have too few n-grams to lie near anything.
+SHORT, SHORT_LIMIT = 64, 0.95
 #: Length classes (letters) of the rejection limits.
 LENGTHS = (8, 16, 32, 64, 128, 256, 1024)
 UNKNOWN = "und"
@@ -72,7 +74,7 @@ def _letter(c: np.ndarray) -> np.ndarray:
 
 
 def _weigh(slots: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    w = (1 + np.log(n)) * idf[slots]
+    w = np.sqrt(n) * idf[slots]  # under the root, the direction settles as a text grows
     norm = np.sqrt((w * w).sum())
     return w / norm if norm else w
 
@@ -162,10 +164,9 @@ def fit(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str
     made = sorted(drawn.groupBy("lang").applyInPandas(learn, "lang string, c binary, limits array<double>").collect(), key=lambda r: r["lang"])
     parts = [np.frombuffer(r["c"], "<f4").reshape(-1, DIMS) for r in made]
     names = tuple(r["lang"] for r, p in zip(made, parts) for _ in p)
-    limits = {r["lang"]: np.minimum(1.0, np.array(r["limits"]) * REJECT) for r in made}
-    # below the shortest sampled length the limits say little: one or two words are never rejected by distance
+    limits = {r["lang"]: (far := np.minimum(1.0, np.array(r["limits"]))) + REJECT * (1 - far) for r in made}
     for x in limits.values():
-        x[0] = x[1] = 1.0
+        x[:LENGTHS.index(SHORT) + 1] = SHORT_LIMIT
     return Model(names, np.concatenate(parts) if parts else np.zeros((0, DIMS), np.float32), idf, limits)
 
 

@@ -89,7 +89,7 @@ def _offer(best: np.ndarray, own: np.ndarray, seed: np.ndarray, m: int) -> None:
     rows = np.arange(len(seed))
     perm = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.int32), (len(seed), 1))
     for j in range(m):
-        r = _mix(seed + np.uint64(j + 1) * _M[0])
+        r = _mix(seed + np.uint64((j + 1) * int(_M[0]) & 0xFFFFFFFFFFFFFFFF))
         u = (r >> np.uint64(11)) * 2.0**-53
         k = j + ((r & np.uint64(0x7FFFFFFF)) * np.uint64(m - j) >> np.uint64(31)).astype(np.int64)
         place = perm[rows, k].astype(np.int64)
