@@ -24,11 +24,12 @@ MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: The end-of-document id of the packed and stored sequences.
 END_ID = 2
 #: Chunks whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 900_000
 ID = np.dtype("<u4")
 
-_SPACED = re.compile(r"\s | \s|\A | \Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: What may be encoded in one string with others: no white space but a space before it and single newlines within it.
+_LINES = re.compile(r" ?\S+(?:\n\S+)*")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -39,30 +40,54 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Codec:
-    """Ids of texts and back. ``encode_batch`` gives the ids of each string; ``tokens`` the bytes of each id."""
+    """Ids of texts and back. ``encode_one`` gives the ids of a string, ``tokens`` the bytes of each id."""
 
-    def __init__(self, encode_batch, tokens: dict[int, bytes]):
-        self._batch, self._tokens = encode_batch, tokens
+    def __init__(self, encode_one, tokens: dict[int, bytes]):
+        self._one, self._tokens = encode_one, tokens
+        self._line = ID.type(encode_one("\n")[0])
         self._first: dict[str, bytes] = {}
-        self._spaced: dict[str, bytes] = {}
+        self._spaced: dict[str, bytes] = {}  # by the chunk without the space before it
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of many chunks by one call: a newline between two characters that are not white space is always an id of its own."""
+        joined = [w for w in words if _LINES.fullmatch(w)]
+        out = {w: np.array(self._one(w), ID).tobytes() for w in words if not _LINES.fullmatch(w)} if len(joined) < len(words) else {}
+        for k in range(0, len(joined), 4096):
+            part = joined[k:k + 4096]
+            ids = np.array(self._one("\n".join(part)), ID)
+            raw, ends = ids.tobytes(), [*(4 * np.flatnonzero(ids == self._line)).tolist(), 4 * len(ids)]
+            at, n = 0, -1
+            for w in part:
+                n += 1 + w.count("\n")
+                out[w] = raw[at:ends[n]]
+                at = ends[n] + 4
+        return out
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; null counts as empty."""
         if len(self._first) + len(self._spaced) > REMEMBERED:
             self._first, self._spaced = {}, {}
-        cut = [(_CUT.split(t) if _SPACED.search(t) else t.split(" ")) if t else [] for t in texts]
-        new = {" " + w for c in cut for w in c[1:] if w not in self._spaced} | {c[0] for c in cut if c and c[0] not in self._first}
-        todo = list(new)
-        known = dict(zip(todo, self._batch(todo))) if todo else {}
-        for c in cut:
-            if c:
-                if c[0] in known:
-                    self._first[c[0]] = known[c[0]]
-        for w, ids in known.items():
-            if w[0] == " ":
-                self._spaced[w[1:]] = ids
+        cut = [t.split(" ") if t else [] for t in texts]
+        new = set().union(*(c[1:] for c in cut)).difference(self._spaced)
+        # a chunk that is empty or has white space at an end was cut in the wrong place; such chunks are never remembered as they are
+        wrong = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+        odd = {}
+        for i, c in enumerate(cut):
+            if c and (not c[0] or c[0][-1].isspace() or wrong and not wrong.isdisjoint(c)):
+                cut[i] = c = _CUT.split(" ".join(c))
+                new.update(c[1:])
+                odd[i] = c
+        new = new.difference(self._spaced, wrong)
+        known = self._learn([*{c[0] for c in cut if c and c[0] not in self._first}, *(" " + w for w in new)])
+        self._first.update((c[0], known[c[0]]) for c in cut if c and c[0] in known)
+        self._spaced.update((w, known[" " + w]) for w in new)
         get = self._spaced.__getitem__
-        return [self._first[c[0]] + b"".join(map(get, c[1:])) if c else b"" for c in cut]
+        ids = [self._first[c[0]] + b"".join(map(get, c[1:])) if c and i not in odd else b"" for i, c in enumerate(cut)]
+        for i, c in odd.items():  # their last chunk may end in white space
+            ids[i] = self._first[c[0]] + b"".join(self._spaced.get(w) or known.get(" " + w) or self._learn([" " + w])[" " + w] for w in c[1:])
+        for w in [w for w in new if w[-1].isspace()]:
+            del self._spaced[w]
+        return ids
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes behind the ids. Characters split over several ids come together again here."""
@@ -77,10 +102,6 @@ class Codec:
         return (char[ends - [len(p) for p in parts]], char[ends - 1] + 1) if parts else (ends, ends)
 
 
-def _packed(encodings) -> list[bytes]:
-    return [np.array(e.ids, ID).tobytes() for e in encodings]
-
-
 @functools.cache
 def from_json(path: str) -> Codec:
     """A byte-level tokenizer file as the tokenizers library reads it, without special tokens being added."""
@@ -94,7 +115,7 @@ def from_json(path: str) -> Codec:
         tokens[i] = bytes(bytes_of[c] for c in word) if all(c in bytes_of for c in word) else word.encode()
     for i, added in t.get_added_tokens_decoder().items():
         tokens[i] = added.content.encode()
-    return Codec(lambda words: _packed(t.encode_batch_fast(words, add_special_tokens=False)), tokens)
+    return Codec(lambda text: t.encode_batch_fast([text], add_special_tokens=False)[0].ids, tokens)
 
 
 @functools.cache
@@ -103,7 +124,7 @@ def from_ranks(path: str) -> Codec:
 
     The library wants merges, so every token is listed with each way to split it into two tokens, by rank. Where equal
     characters repeat, several splits of one token can apply at once and the library may take another than the leftmost;
-    each chunk's ids are therefore compared with the rank file's own rule the first time it is met.
+    the ids of a string are therefore compared with the rank file's own rule when they are learned.
     """
     import tiktoken
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -121,15 +142,11 @@ def from_ranks(path: str) -> Codec:
     t.decoder = decoders.ByteLevel()
     rule = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def batch(words: list[str]) -> list[bytes]:
-        found = _packed(t.encode_batch_fast(words, add_special_tokens=False))
-        for i, ids in enumerate(rule.encode_ordinary_batch(words, num_threads=1)):
-            own = np.array(ids, ID).tobytes()
-            if own != found[i]:
-                found[i] = own
-        return found
+    def one(text: str) -> list[int]:
+        own, found = rule.encode_ordinary(text), t.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return found if found == own else own
 
-    return Codec(batch, {v: k for k, v in ranks.items()})
+    return Codec(one, {v: k for k, v in ranks.items()})
 
 
 def codec(path: str) -> Codec:

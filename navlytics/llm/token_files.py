@@ -33,11 +33,19 @@ _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.i
 
 def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(table, control bytes, data bytes) of a block's ids."""
-    table, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((table, -counts))
-    rank = np.empty(len(table), ID)
-    rank[order] = np.arange(len(table), dtype=ID)
-    v = rank[inverse]
+    if len(ids) and ids.max() < 1 << 22:
+        counts = np.bincount(ids)
+        table = np.flatnonzero(counts)
+        order = np.lexsort((table, -counts[table]))
+        rank = np.empty(len(counts), ID)
+        rank[table[order]] = np.arange(len(table), dtype=ID)
+        v = rank[ids]
+    else:  # a vocabulary too wide to count by place
+        table, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        order = np.lexsort((table, -counts))
+        rank = np.empty(len(table), ID)
+        rank[order] = np.arange(len(table), dtype=ID)
+        v = rank[inverse]
     code = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
     padded = np.zeros(-(-len(v) // 4) * 4, np.uint8)
     padded[:len(v)] = code
@@ -89,13 +97,13 @@ def write(docs: DataFrame, folder: str | None = None, path: str = GPT_JSON, id_c
     """Write the files in ascending id order; return their manifest (shard, path, first id of the whole, n_docs, n_ids).
 
     Every row is one document whose ids end with END_ID; null texts count as empty. Null ids come first; rows with equal ids are
-    ordered by text. Documents are dealt out by ranges of (id, text), so no id's rows are gathered. A task writes one file under
+    ordered by a hash of their text. Documents are dealt out by ranges of both, so no id's rows are gathered. A task writes one file under
     a name of its attempt; the manifest, kept as a table, names the files that count.
     """
     folder = folder or new_folder(docs.sparkSession, "tokens")
     end = np.array([END_ID], ID).tobytes()
     src = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    src = src.repartitionByRange("__id", F.xxhash64("__text")).sortWithinPartitions("__id", "__text")
+    src = src.repartitionByRange("__id", F.xxhash64("__text")).sortWithinPartitions("__id", F.xxhash64("__text"), "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, shard, f = codec(path), TaskContext.get().partitionId(), None
