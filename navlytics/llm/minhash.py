@@ -3,9 +3,9 @@
 A document is the set of its word shingles. Equal sets are one class first, so copies cost nothing further. Each class
 gets a SuperMinHash signature; classes that agree in a band are compared, first by signatures, then on their full sets.
 
-No bucket is turned into all its pairs. In each round a bucket's leaders are compared with its members, and a bucket is
-done when its members are all in one component. Leaders come from the components with the fewest members of the bucket, so a bucket with one
-large group and a few strangers is done when the strangers have been compared with all others.
+No bucket is turned into all its pairs. First each bucket's least id is compared with its other members. Then a bucket is done when its
+members are all in one component; else members outside its largest component lead, are compared with the members of other
+components, and leave it. So a bucket with one large group and a few strangers is done when the strangers have been compared.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ from navlytics.llm.shared import keep
 BANDING = {85: (32, 6), 80: (38, 5)}
 #: Pairs whose signatures agree in fewer places than a similarity this many standard errors below the limit are not verified.
 ERRORS = 5.0
-#: Leaders that a bucket compares with its members in one round.
-LEADERS = 4
+#: Leaders that a bucket compares with its members in the second round; each later round takes GROWTH times as many. A few leaders
+#: join most of a large group, so that few members are left when there are many leaders.
+LEADERS, GROWTH = 2, 4
 _SEEN_WORDS = 500_000
 
 
@@ -142,10 +143,10 @@ def _buckets(classes: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def _agree(pairs: DataFrame, classes: DataFrame, places: int, least: float) -> DataFrame:
-    """The pairs whose signatures agree in at least ``least`` places and whose set sizes allow a link."""
-    s = classes.select("id", "n_shingles", "signature")
-    p = pairs.join(s.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb")), "b")
-    p = p.join(s.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa")), "a")
+    """The pairs whose signatures agree in at least ``least`` places."""
+    s = classes.select("id", "signature")
+    p = pairs.join(s.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b")
+    p = p.join(s.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,11 +155,13 @@ def _agree(pairs: DataFrame, classes: DataFrame, places: int, least: float) -> D
                 ok = (x == y).sum(axis=1) >= least
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
 
-    return p.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
+    return p.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs that are linked, by their full sets. A pair's texts meet by two joins on ids, which AQE may split."""
+    """The pairs that are linked, by their full sets. Only texts of pairs are kept; a pair's two meet by joins on ids, which AQE may split."""
+    named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = keep(texts.join(keep(named, "named"), "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
     p = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,8 +184,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """(id, n_shingles, component_id, kept) for every row; component_id is the smallest id reachable over links.
 
     Null texts and texts without a word have no shingle and no link. Rows with a null id get component_id null and kept true
-    and take no part. Of rows that share an id, each is a member of its own; they count as linked with each other, since they are one node.
-    Links are missed only with the probability stated at BANDING. An empty table gives an empty one; other columns are not read.
+    and take no part. Rows that share an id are one node,
+    linked by whichever of their texts links. Links are missed only with the probability stated at BANDING. An empty table gives an empty one; other columns are not read.
     """
     base_bands, base_rows = BANDING.get(percent, (38, 5))
     bands, rows = bands or base_bands, rows or base_rows
@@ -190,44 +193,37 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     least = m * (s - ERRORS * np.sqrt(s * (1 - s) / m))
     all_rows = keep(_classes(docs, words, m, id_col, text_col), "signatures")
     member = all_rows.where("digest is not null and id is not null")
-    classes = keep(member.groupBy("digest").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
-                   .dropDuplicates(["id"]), "classes")
+    classes = keep(member.groupBy("digest").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
     # a bucket's only member needs no comparison; of each bucket the rest is kept
     entries = _buckets(classes, bands, rows)
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     open_ = keep(entries.join(shared, "bucket").select("bucket", "id"), "buckets")
+    active = keep(classes.select("id", "signature").join(open_.select("id").distinct(), "id", "left_semi"), "active")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    links, seen, comp = None, None, None
+    # first round: the least id of a bucket leads
+    lead = open_.groupBy("bucket").agg(F.min("id").alias("a"))
+    pairs = seen = keep(open_.withColumnRenamed("id", "b").join(lead, "bucket").where("a < b").select("a", "b").distinct(), "pairs")
+    links = keep(_verify(keep(_agree(pairs, active, m, least), "candidates"), texts, words, percent), "links")
     while True:
-        now = open_.withColumn("c", F.col("id")) if comp is None else open_.join(comp, open_["id"] == comp["node"], "left").select(
-            "bucket", "id", F.coalesce("component", "id").alias("c"))
-        if comp is None:
-            # first round: one leader, the least id
-            lead = now.groupBy("bucket").agg(F.min("id").alias("a"))
-            left = open_
-        else:
-            now = keep(now, "open")
-            size = now.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("id"), "id").alias("x"))
-            many = size.groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("n", "c"))["c"].alias("main")).where("groups > 1")
-            left = keep(now.join(many, "bucket"), "left")
-            if left.isEmpty():
-                break
-            # leaders: members outside the largest component of the bucket, least id first
-            rest = left.where("c <> main").withColumn("k", F.row_number().over(W.partitionBy("bucket").orderBy("id"))).where(F.col("k") <= leaders)
-            lead = keep(rest.select("bucket", F.col("id").alias("a"), F.col("c").alias("ca")), "leaders")
-        side = left.select("bucket", F.col("id").alias("b"), *([] if comp is None else [F.col("c").alias("cb")]))
-        pairs = side.join(lead, "bucket").where("a <> b" if comp is None else "ca <> cb")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = keep(pairs, "pairs")
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        new = keep(_verify(keep(_agree(pairs, classes, m, least), "candidates"), texts, words, percent), "links")
-        # what has been compared with the whole bucket leaves it
-        open_ = keep(open_.join(lead.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti"), "buckets")
-        if links is None or not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            comp = keep(components(links, "a", "b"), "components")
+        comp = keep(components(links, "a", "b"), "components")
+        now = keep(open_.join(lead.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti")
+                   .join(comp.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c")), "open")
+        size = now.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
+        many = size.groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("n", "c"))["c"].alias("main")).where("groups > 1")
+        open_ = keep(now.join(many, "bucket").select("bucket", "id", "c", "main"), "left")
+        if open_.isEmpty():
+            break
+        # leaders: members outside the largest component of the bucket, least id first; then they leave it
+        rest = open_.where("c <> main").withColumn("k", F.row_number().over(W.partitionBy("bucket").orderBy("id"))).where(F.col("k") <= leaders)
+        lead = keep(rest.select("bucket", F.col("id").alias("a"), F.col("c").alias("ca")), "leaders")
+        pairs = open_.select("bucket", F.col("id").alias("b"), F.col("c").alias("cb")).join(lead, "bucket").where("ca <> cb").select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = keep(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
+        seen = seen.unionByName(pairs)
+        found = keep(_agree(pairs, active, m, least), "candidates")
+        if not found.isEmpty():
+            links = links.unionByName(keep(_verify(found, texts, words, percent), "links"))
+        open_, leaders = open_.select("bucket", "id"), leaders * GROWTH
     of_class = classes.select("digest", "id").join(comp, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("c"))
     return _name(all_rows, of_class, id_col)
 
