@@ -124,7 +124,10 @@ def fit(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str
     """
     rows = docs.where(labelled & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    slim = rows.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", F.xxhash64("text")))).where(F.col("k") <= sample)
+    # the sample is the start of the hash order; a bound on the hash from the language's row count leaves few more rows than it to be ranked
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    near = rows.join(sizes, "lang").where(F.col("h").cast("double") <= (F.lit(1.5 * sample + 100) / F.col("size") - 0.5) * 2.0**64).drop("size")
+    slim = near.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", F.xxhash64("text")))).where(F.col("k") <= sample)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
