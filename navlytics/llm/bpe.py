@@ -24,7 +24,7 @@ MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: The end-of-document id of the packed and stored sequences.
 END_ID = 2
 #: Chunks whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 900_000
+REMEMBERED = 500_000
 ID = np.dtype("<u4")
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
