@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from navlytics.operators.skew import heavy_keys, salted_lookup
 
@@ -123,6 +123,14 @@ def _merge_best(part: DataFrame, by: list[str], k: int) -> DataFrame:
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*by, "rank", "hay_id", "score")
 
 
+def _measurable(df: DataFrame, vec: str) -> Column:
+    holds = df.schema[vec].dataType
+    ok = F.col(vec).isNotNull()
+    if isinstance(holds, T.ArrayType):
+        ok = ok & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x))
+    return ok
+
+
 def knn_join(
     needles: DataFrame,
     hay: DataFrame,
@@ -138,7 +146,9 @@ def knn_join(
 
     Where copies of one vector pile up, only k of them stand for the hay side (the lowest ids win
     ties anyway) and one for the needles, whose result is then handed to all copies.
+    Vectors that are NULL or hold a NULL or NaN have no distance and take no part on either side.
     """
+    needles, hay = needles.where(_measurable(needles, vec)), hay.where(_measurable(hay, vec))
     needles = needles.select(needle_id, vec).withColumn("__vh", F.xxhash64(vec))
     hay = hay.select(hay_id, vec).withColumn("__vh", F.xxhash64(vec))
     if heavy_keys(hay, "__vh"):

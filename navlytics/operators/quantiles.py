@@ -44,7 +44,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
     eps = 3.0 / ACCURACY
     ask = sorted({min(1.0, max(0.0, p + d)) for p in probs.values() for d in (-eps, eps)})
     v = F.col(value).cast("double")
-    src = df.where(v.isNotNull()).select(*by, v.alias("__v"))
+    src = df.where(v.isNotNull() & ~F.isnan(v.cast("double"))).select(*by, v.alias("__v"))
     sketch = src.groupBy(*by).agg(
         F.count("__v").alias("__cnt"), F.percentile_approx("__v", ask, ACCURACY).alias("__pts")
     )

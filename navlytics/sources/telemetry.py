@@ -27,7 +27,7 @@ def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
 
 def frame_number(path: Column) -> Column:
     """Number in an image file name, NULL for other files."""
-    return F.try_to_number(F.nullif(F.regexp_extract(path, FRAME_FILE_PATTERN, 1), F.lit("")), F.lit("999999999999")).cast("bigint")
+    return F.regexp_extract(path, FRAME_FILE_PATTERN, 1).try_cast("bigint")
 
 
 def video_id(path: Column) -> Column:

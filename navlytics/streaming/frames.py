@@ -8,7 +8,6 @@ rows of a session are ordered.
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from navlytics.operators.ordered import Ordered, asof_backward
+from navlytics.session import shared_folder
 
 KEYFRAME_OUT = "session BIGINT, frame_id BIGINT, t DOUBLE, track_no INT, is_keyframe BOOLEAN, reason STRING, kf_count INT, window ARRAY<BIGINT>"
 KEYFRAME_STATE = "last_t DOUBLE, track_no INT, kf_t DOUBLE, w DOUBLE, x DOUBLE, y DOUBLE, z DOUBLE, kf_count INT, window ARRAY<BIGINT>"
@@ -129,9 +129,8 @@ def late_correction(frames: DataFrame, corrections: DataFrame, keys: list[str],
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder, or a temporary one in local tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base}/navlytics-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="navlytics-stream-")
+    """A new folder below the shared folder."""
+    return f"{shared_folder(spark)}/navlytics-{uuid.uuid4().hex}"
 
 
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
