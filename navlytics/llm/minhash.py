@@ -4,8 +4,11 @@ A document is the set of its word shingles. Equal sets are one class first, so c
 gets a SuperMinHash signature; classes that agree in a band are compared, first by signatures, then on their full sets.
 
 No bucket is turned into all its pairs. First each bucket's least id is compared with its other members. Then a bucket is done when its
-members are all in one component; else members outside its largest component lead, are compared with the members of other
-components, and leave it. So a bucket with one large group and a few strangers is done when the strangers have been compared.
+members are all in one component. Of the others, those of at most SMALL members compare their members across components. Larger ones count
+the shingles of their members: a shingle of at most RARE of them is rare. Two members are linked only if they share a rare shingle, so
+that an index of the rare ones finds them, or if what they hold beside rare shingles (their room) is enough for a link. So members whose room is too
+small are done without a comparison, the member of most room serves as hub first, then several, and what is then left in different components is
+compared if room and sizes allow a link. All of it is exact for members of a bucket.
 """
 
 from __future__ import annotations
@@ -26,9 +29,10 @@ from navlytics.llm.shared import keep
 BANDING = {85: (32, 6), 80: (38, 5)}
 #: Pairs whose signatures agree in fewer places than a similarity this many standard errors below the limit are not verified.
 ERRORS = 5.0
-#: Leaders that a bucket compares with its members in the second round; each later round takes GROWTH times as many. A few leaders
-#: join most of a large group, so that few members are left when there are many leaders.
-LEADERS, GROWTH = 2, 4
+#: Members of a bucket up to which all are compared across components; members up to which a shingle is rare; hubs of the third round.
+SMALL, RARE, HUBS = 32, 64, 16
+#: Sizes of sets within this ratio are one size class.
+CLASS = 1.02
 _SEEN_WORDS = 500_000
 
 
@@ -107,9 +111,17 @@ def _offer(best: np.ndarray, own: np.ndarray, seed: np.ndarray, m: int) -> None:
                 rows = np.arange(len(seed))
 
 
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _key(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 def _classes(docs: DataFrame, words: int, m: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, digest of the set, signature) per row."""
-    schema = "id long, n_shingles long, digest binary, signature binary"
+    """(id, n_shingles, digest of the set, its first 8 bytes as a number, signature) per row."""
+    schema = "id long, n_shingles long, digest binary, key long, signature binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,10 +131,11 @@ def _classes(docs: DataFrame, words: int, m: int, id_col: str, text_col: str) ->
                 sig = signatures(sets, m)
                 # 32 bits of each place are enough to compare: a chance agreement has a probability of 2^-32
                 low = _mix(sig.reshape(-1)).astype(np.uint32).reshape(len(sets), m)
+                digests = [_digest(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                    pa.array([low[i].tobytes() if len(s) else None for i, s in enumerate(sets)], pa.binary())], ["id", "n_shingles", "digest", "signature"])
+                    part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
+                    pa.array([_key(d) if d else None for d in digests], pa.int64()),
+                    pa.array([low[i].tobytes() if len(s) else None for i, s in enumerate(sets)], pa.binary())], ["id", "n_shingles", "digest", "key", "signature"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -179,8 +192,77 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return p.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _shingle_rows(texts: DataFrame, words: int) -> DataFrame:
+    """(key of the set, shingle) for every shingle of (id, text) rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in b.column(1).to_pylist():
+                s = shingles(text, words)
+                if len(s):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), _key(_digest(s)))), pa.array(s.view(np.int64))], ["key", "shingle"])
+
+    return texts.select("id", "text").mapInArrow(run, "key long, shingle long")
+
+
+def _may_link(percent: int, room_a: str, room_b: str, n_a: str, n_b: str):
+    """Whether an intersection of the smaller room is enough for sets of these sizes."""
+    return (100 + percent) * F.least(room_a, room_b) >= percent * (F.col(n_a) + F.col(n_b))
+
+
+def _rooms(crowd: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rooms and an index of the members (id, c) of crowded buckets: (id, c, key, n, room), and pairs (a, b) that share a rare shingle.
+
+    The index takes the rarest shingles of a set, so many that sets without one of them in common can't be linked.
+    """
+    crowd_texts = keep(texts.join(crowd.select("id"), "id", "left_semi").dropDuplicates(["id", "text"]), "crowd-texts")
+    rows = keep(_shingle_rows(crowd_texts, words), "crowd-shingles")
+    counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= RARE)
+    rare = keep(rows.join(counts, "shingle").dropDuplicates(["key", "shingle"]), "rare")
+    size = classes.select("id", "key", F.col("n_shingles").alias("n")).join(crowd, "id")
+    of_set = rare.groupBy("key").agg(F.count(F.lit(1)).alias("n_rare"))
+    rooms = keep(size.join(of_set, "key", "left").select("id", "c", "key", "n", (F.col("n") - F.coalesce("n_rare", F.lit(0))).alias("room")), "rooms")
+    rank = F.row_number().over(W.partitionBy("id", "key").orderBy("df", "shingle"))
+    first = rare.join(rooms, "key").withColumn("rank", rank).where(F.col("rank") <= F.floor(F.col("n") * (100 - percent) / 100) + 1)
+    first = keep(first.where("df > 1").select("shingle", "id", "c", "n"), "rarest")
+    a, b = (first.select("shingle", *(F.col(x).alias(x + y) for x in ("id", "c", "n"))) for y in "ab")
+    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    found = a.join(b, "shingle").where((F.col("ida") < F.col("idb")) & (F.col("ca") != F.col("cb")) & fits)
+    return rooms, found.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
+
+
+def _open(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, component) of the links, and (bucket, id, c, n, main) of the buckets with members in several components, the largest being main."""
+    comp = keep(components(links, "a", "b"), "components")
+    now = keep(members.join(comp.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c")), "open")
+    size = now.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
+    many = size.groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.max(F.struct("n", "c"))["c"].alias("main")).where("groups > 1")
+    return comp, keep(now.join(many.drop("groups"), "bucket").select("bucket", "id", "c", "n", "main"), "left")
+
+
+def _hubs(members: DataFrame, by: list[str]) -> DataFrame:
+    """The member of most room, of these the least id, in each group."""
+    top = members.groupBy(*by).agg(F.max(F.struct("room", (-F.col("id")).alias("id"), "c", "set")).alias("t"))
+    return top.select("bucket", (-F.col("t.id")).alias("id"), "t.c", "t.set", "t.room")
+
+
+def _size_class(n):
+    return F.floor(F.log(n.cast("double")) / float(np.log(CLASS)))
+
+
+def _cross(a: DataFrame, b: DataFrame, on: list[str], percent: int | None = None) -> DataFrame:
+    """Pairs of rows with equal ``on`` and different components; with a limit, those whose rooms allow a link."""
+    other = b.select(*on, *(F.col(x).alias(x + "2") for x in b.columns if x not in on))
+    p = a.join(other, on).where(F.col("c") != F.col("c2"))
+    if a is b:
+        p = p.where("id < id2")
+    if percent is not None:
+        p = p.where(_may_link(percent, "room", "room2", "set", "set2"))
+    return p.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
-                    bands: int | None = None, rows: int | None = None, leaders: int = LEADERS) -> DataFrame:
+                    bands: int | None = None, rows: int | None = None, small: int = SMALL) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row; component_id is the smallest id reachable over links.
 
     Null texts and texts without a word have no shingle and no link. Rows with a null id get component_id null and kept true
@@ -193,7 +275,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     least = m * (s - ERRORS * np.sqrt(s * (1 - s) / m))
     all_rows = keep(_classes(docs, words, m, id_col, text_col), "signatures")
     member = all_rows.where("digest is not null and id is not null")
-    classes = keep(member.groupBy("digest").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
+    classes = keep(member.groupBy("digest").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("key").alias("key"), F.first("signature").alias("signature")), "classes")
     # a bucket's only member needs no comparison; of each bucket the rest is kept
     entries = _buckets(classes, bands, rows)
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
@@ -204,26 +286,40 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     lead = open_.groupBy("bucket").agg(F.min("id").alias("a"))
     pairs = seen = keep(open_.withColumnRenamed("id", "b").join(lead, "bucket").where("a < b").select("a", "b").distinct(), "pairs")
     links = keep(_verify(keep(_agree(pairs, active, m, least), "candidates"), texts, words, percent), "links")
-    while True:
-        comp = keep(components(links, "a", "b"), "components")
-        now = keep(open_.join(lead.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti")
-                   .join(comp.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c")), "open")
-        size = now.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
-        many = size.groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("n", "c"))["c"].alias("main")).where("groups > 1")
-        open_ = keep(now.join(many, "bucket").select("bucket", "id", "c", "main"), "left")
-        if open_.isEmpty():
-            break
-        # leaders: members outside the largest component of the bucket, least id first; then they leave it
-        rest = open_.where("c <> main").withColumn("k", F.row_number().over(W.partitionBy("bucket").orderBy("id"))).where(F.col("k") <= leaders)
-        lead = keep(rest.select("bucket", F.col("id").alias("a"), F.col("c").alias("ca")), "leaders")
-        pairs = open_.select("bucket", F.col("id").alias("b"), F.col("c").alias("cb")).join(lead, "bucket").where("ca <> cb").select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = keep(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-        seen = seen.unionByName(pairs)
-        found = keep(_agree(pairs, active, m, least), "candidates")
+    def compare(new: DataFrame) -> None:
+        nonlocal seen, links
+        new = keep(new.distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
+        seen = seen.unionByName(new)
+        found = keep(_agree(new, active, m, least), "candidates")
         if not found.isEmpty():
             links = links.unionByName(keep(_verify(found, texts, words, percent), "links"))
-        open_, leaders = open_.select("bucket", "id"), leaders * GROWTH
+
+    comp, left = _open(open_, links)
+    if not left.isEmpty():
+        few, many = left.where(F.col("n") <= small).select("bucket", "id", "c"), left.where(F.col("n") > small)
+        crowd = keep(many.select("id", "c").distinct(), "crowd")
+        crowded = not crowd.isEmpty()
+        new = _cross(few, few, ["bucket"])
+        if crowded:
+            rooms, indexed = _rooms(crowd, classes, texts, words, percent)
+            rooms = rooms.select("id", F.col("n").alias("set"), "room")
+            many = keep(many.select("bucket", "id", "c").join(rooms, "id"), "many")
+            new = new.unionByName(_cross(_hubs(many, ["bucket"]), many, ["bucket"], percent)).unionByName(indexed)
+        compare(new)
+        comp, left = _open(many.select("bucket", "id").distinct(), links) if crowded else (keep(components(links, "a", "b"), "components"), None)
+        if crowded and not left.isEmpty():
+            many = keep(left.drop("n").join(rooms, "id"), "many")
+            core = _hubs(many.where("c = main").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(HUBS))), ["bucket", "part"])
+            compare(_cross(core, many.where("c <> main"), ["bucket"], percent))
+            comp, left = _open(many.select("bucket", "id").distinct(), links)
+            many = left.drop("n").join(rooms, "id")
+            # an outsider's partners: not smaller than a link allows, and not larger than its room allows
+            high = F.least(F.floor(F.col("room") * (100 + percent) / percent) - F.col("set"), F.floor(F.col("set") * 100 / percent))
+            low = F.ceil(F.col("set") * percent / 100)
+            at = many.withColumn("class", _size_class(F.col("set"))).drop("main")
+            out = many.where((F.col("c") != F.col("main")) & (high >= low)).withColumn("class", F.explode(F.sequence(_size_class(low), _size_class(high)))).drop("main")
+            compare(_cross(keep(out, "outsiders"), keep(at, "many"), ["bucket", "class"], percent))
+            comp = keep(components(links, "a", "b"), "components")
     of_class = classes.select("digest", "id").join(comp, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("c"))
     return _name(all_rows, of_class, id_col)
 

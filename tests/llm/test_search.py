@@ -121,6 +121,27 @@ def test_near_duplicates(spark, words, percent):
     assert minhash.near_duplicates(df.limit(0), words, percent).count() == 0
 
 
+@pytest.mark.parametrize("small", [2, 32])
+def test_crowded_buckets(spark, small):
+    """Many near copies of one text, some linked only over others and many with none, and rows that share an id."""
+    rng = random.Random(small)
+    vocab = [f"w{i}" for i in range(60)]
+    base = [rng.choice(vocab) for _ in range(120)]
+    rows = []
+    for i in range(260):
+        t = list(base)
+        for _ in range(rng.choice([1, 2, 3, 3, 4, 5, 6, 7])):
+            t[rng.randrange(len(t))] = rng.choice(vocab)
+        if i % 9 == 0:
+            t = t[:rng.randrange(95, 120)]
+        rows.append((i, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, 3, 85, small=small).collect()}
+    assert got == brute(rows, 3, 85)
+    twice = df.unionByName(spark.createDataFrame([(0, rows[1][1])], "doc_id long, text string"))
+    assert minhash.near_duplicates(twice, 3, 85, small=small).where("doc_id = 0").count() == 2
+
+
 def test_signatures_estimate_similarity_and_fill_every_place():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 300).astype(np.uint64)
