@@ -37,7 +37,7 @@ def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-def _forest(links: DataFrame) -> DataFrame:
+def _forest(links: DataFrame, batch: int) -> DataFrame:
     """Replace each task's links by the star of each of its components: (node, root), root < node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,9 +50,9 @@ def _forest(links: DataFrame) -> DataFrame:
         for b in batches:
             held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
             n += b.num_rows
-            if n > BATCH_LINKS:
+            if n > batch:
                 small = shrink()
-                if len(small[0]) > BATCH_LINKS // 2:  # it doesn't shrink further: pass it on
+                if len(small[0]) > batch // 2:  # it doesn't shrink further: pass it on
                     yield pa.RecordBatch.from_arrays([pa.array(small[0]), pa.array(small[1])], ["node", "root"])
                     small = small[0][:0], small[1][:0]
                 held, n = [small], len(small[0])
@@ -63,14 +63,19 @@ def _forest(links: DataFrame) -> DataFrame:
     return links.mapInArrow(run, "node long, root long")
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
+def components(links: DataFrame, a: str, b: str, batch: int = BATCH_LINKS) -> DataFrame:
     """(node, component) for every node that has a link; the component is its least node.
 
-    Each round turns every task's links into stars. A node that got several roots links them with its least one and itself too; so
-    components contract until every node has one root that is a root itself. Nulls and loops are left out.
+    Each round spreads the links over tasks of about ``batch`` each and turns every task's links into stars. A node that got several roots links
+    them with its least one and itself too; so components contract until every node has one root that is a root itself, or until one task's
+    batch takes all links that are left. Nulls and loops are left out.
     """
-    cur = keep(_forest(links.where(f"{a} is not null and {b} is not null and {a} <> {b}").select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))), "forest")
+    cur = links.where(f"{a} is not null and {b} is not null and {a} <> {b}").select(F.col(a).cast("long").alias("node"), F.col(b).cast("long").alias("root"))
     while True:
+        tasks = max(1, -(-cur.count() // batch))
+        cur = keep(_forest(cur.coalesce(tasks), batch), "forest")
+        if tasks == 1:
+            return cur.withColumnRenamed("root", "component")
         low = keep(cur.groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("high")), "low")
         # hook: the roots of a node are linked with the least of them
         hooks = cur.join(low.where("root < high").select("node", F.col("root").alias("low")), "node").where("root <> low").select(
@@ -82,4 +87,4 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         hooks = keep(hooks, "hooks")
         if hooks.isEmpty() and jump.where("moved").isEmpty():
             return jump.select("node", F.col("root").alias("component"))
-        cur = keep(_forest(jump.select("node", "root").unionByName(hooks.select(F.greatest("x", "y").alias("node"), F.least("x", "y").alias("root")))), "forest")
+        cur = jump.select("node", "root").unionByName(hooks.select(F.greatest("x", "y").alias("node"), F.least("x", "y").alias("root")))

@@ -233,7 +233,7 @@ def _rooms(crowd: DataFrame, classes: DataFrame, texts: DataFrame, words: int, p
 
 def _open(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, component) of the links, and (bucket, id, c, n, main) of the buckets with members in several components, the largest being main."""
-    comp = keep(components(links, "a", "b"), "components")
+    comp = components(links, "a", "b")
     now = keep(members.join(comp.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c")), "open")
     size = now.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
     many = size.groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.max(F.struct("n", "c"))["c"].alias("main")).where("groups > 1")
@@ -306,7 +306,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             many = keep(many.select("bucket", "id", "c").join(rooms, "id"), "many")
             new = new.unionByName(_cross(_hubs(many, ["bucket"]), many, ["bucket"], percent)).unionByName(indexed)
         compare(new)
-        comp, left = _open(many.select("bucket", "id").distinct(), links) if crowded else (keep(components(links, "a", "b"), "components"), None)
+        comp, left = _open(many.select("bucket", "id").distinct(), links) if crowded else (components(links, "a", "b"), None)
         if crowded and not left.isEmpty():
             many = keep(left.drop("n").join(rooms, "id"), "many")
             core = _hubs(many.where("c = main").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(HUBS))), ["bucket", "part"])
@@ -319,7 +319,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             at = many.withColumn("class", _size_class(F.col("set"))).drop("main")
             out = many.where((F.col("c") != F.col("main")) & (high >= low)).withColumn("class", F.explode(F.sequence(_size_class(low), _size_class(high)))).drop("main")
             compare(_cross(keep(out, "outsiders"), keep(at, "many"), ["bucket", "class"], percent))
-            comp = keep(components(links, "a", "b"), "components")
+            comp = components(links, "a", "b")
     of_class = classes.select("digest", "id").join(comp, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("c"))
     return _name(all_rows, of_class, id_col)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from navlytics.llm import minhash, topk, warc
 from navlytics.llm.components import components
+from navlytics.llm.components import components
 
 
 def test_loser_tree_merges_sorted_runs():
@@ -121,6 +122,17 @@ def test_near_duplicates(spark, words, percent):
     assert minhash.near_duplicates(df.limit(0), words, percent).count() == 0
 
 
+@pytest.mark.parametrize("batch", [40, 10**6])
+def test_components(spark, batch):
+    """Chains, rings and stars over many tasks or one; loops, repeated links and nulls."""
+    pairs = [(i, i + 1) for i in range(100, 170)] + [(300 + i, 300 + (i + 1) % 20) for i in range(20)] + [(500, 500 - i) for i in range(1, 40)]
+    df = spark.createDataFrame(pairs + pairs[:9] + [(7, 7), (None, 8), (8, None)], "a long, b long").repartition(6)
+    got = {r.node: r.component for r in components(df, "a", "b", batch).collect()}
+    want = {i: 100 for i in range(101, 171)} | {i: 300 for i in range(301, 320)} | {i: 461 for i in range(462, 501)}
+    assert got == want
+    assert components(df.limit(0), "a", "b", batch).count() == 0
+
+
 @pytest.mark.parametrize("small", [2, 32])
 def test_crowded_buckets(spark, small):
     """Many near copies of one text, some linked only over others and many with none, and rows that share an id."""
