@@ -33,6 +33,8 @@ ERRORS = 5.0
 SMALL, RARE, HUBS = 32, 64, 16
 #: Sizes of sets within this ratio are one size class.
 CLASS = 1.02
+#: Rows of a task after a shuffle, by what they carry: ids, signatures, pairs with signatures, texts. Small rounds then need few tasks.
+ID_ROWS, SIGNED_ROWS, SIGNED_PAIRS, TEXT_ROWS = 50_000, 8192, 8192, 1024
 _SEEN_WORDS = 500_000
 
 
@@ -111,6 +113,11 @@ def _offer(best: np.ndarray, own: np.ndarray, seed: np.ndarray, m: int) -> None:
                 rows = np.arange(len(seed))
 
 
+def _few(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """At most as many tasks as ``rows``, a bound of what is dealt to them, asks for; all rows pass, and shuffle partitions stay the upper limit."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
@@ -168,13 +175,15 @@ def _agree(pairs: DataFrame, classes: DataFrame, places: int, least: float) -> D
                 ok = (x == y).sum(axis=1) >= least
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
 
-    return p.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return _few(p.select("a", "b", "sa", "sb"), pairs.count(), SIGNED_PAIRS).mapInArrow(run, "a long, b long")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs that are linked, by their full sets. Only texts of pairs are kept; a pair's two meet by joins on ids, which AQE may split."""
     named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = keep(texts.join(keep(named, "named"), "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
+    n = pairs.count()
+    named = keep(_few(named, 2 * n, ID_ROWS), "named")
+    texts = keep(_few(texts.join(named, "id", "left_semi").dropDuplicates(["id", "text"]), 2 * n, TEXT_ROWS), "texts")
     p = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +198,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
                 ok.append(100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return p.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return _few(p.select("a", "b", "ta", "tb"), n, TEXT_ROWS).mapInArrow(run, "a long, b long")
 
 
 def _shingle_rows(texts: DataFrame, words: int) -> DataFrame:
@@ -215,29 +224,33 @@ def _rooms(crowd: DataFrame, classes: DataFrame, texts: DataFrame, words: int, p
 
     The index takes the rarest shingles of a set, so many that sets without one of them in common can't be linked.
     """
-    crowd_texts = keep(texts.join(crowd.select("id"), "id", "left_semi").dropDuplicates(["id", "text"]), "crowd-texts")
+    members = crowd.count()
+    crowd_texts = keep(_few(texts.join(crowd.select("id"), "id", "left_semi").dropDuplicates(["id", "text"]), members, TEXT_ROWS), "crowd-texts")
     rows = keep(_shingle_rows(crowd_texts, words), "crowd-shingles")
     counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= RARE)
-    rare = keep(rows.join(counts, "shingle").dropDuplicates(["key", "shingle"]), "rare")
+    n = rows.count()
+    rare = keep(_few(rows.join(counts, "shingle").dropDuplicates(["key", "shingle"]), n, ID_ROWS), "rare")
     size = classes.select("id", "key", F.col("n_shingles").alias("n")).join(crowd, "id")
     of_set = rare.groupBy("key").agg(F.count(F.lit(1)).alias("n_rare"))
-    rooms = keep(size.join(of_set, "key", "left").select("id", "c", "key", "n", (F.col("n") - F.coalesce("n_rare", F.lit(0))).alias("room")), "rooms")
+    room = F.col("n") - F.coalesce("n_rare", F.lit(0))
+    rooms = keep(_few(size.join(of_set, "key", "left").select("id", "c", "key", "n", room.alias("room")), members, ID_ROWS), "rooms")
     rank = F.row_number().over(W.partitionBy("id", "key").orderBy("df", "shingle"))
     first = rare.join(rooms, "key").withColumn("rank", rank).where(F.col("rank") <= F.floor(F.col("n") * (100 - percent) / 100) + 1)
-    first = keep(first.where("df > 1").select("shingle", "id", "c", "n"), "rarest")
+    first = keep(_few(first.where("df > 1").select("shingle", "id", "c", "n"), n, ID_ROWS), "rarest")
     a, b = (first.select("shingle", *(F.col(x).alias(x + y) for x in ("id", "c", "n"))) for y in "ab")
     fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     found = a.join(b, "shingle").where((F.col("ida") < F.col("idb")) & (F.col("ca") != F.col("cb")) & fits)
-    return rooms, found.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
+    return rooms, found.select(F.col("ida").alias("a"), F.col("idb").alias("b"))
 
 
 def _open(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, component) of the links, and (bucket, id, c, n, main) of the buckets with members in several components, the largest being main."""
-    comp = components(links, "a", "b")
-    now = keep(members.join(comp.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c")), "open")
+    comp, rows = components(links, "a", "b"), members.count()
+    now = members.join(comp.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+    now = keep(_few(now, rows, ID_ROWS), "open")
     size = now.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
     many = size.groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.max(F.struct("n", "c"))["c"].alias("main")).where("groups > 1")
-    return comp, keep(now.join(many.drop("groups"), "bucket").select("bucket", "id", "c", "n", "main"), "left")
+    return comp, keep(_few(now.join(many.drop("groups"), "bucket").select("bucket", "id", "c", "n", "main"), rows, ID_ROWS), "left")
 
 
 def _hubs(members: DataFrame, by: list[str]) -> DataFrame:
@@ -275,17 +288,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     least = m * (s - ERRORS * np.sqrt(s * (1 - s) / m))
     all_rows = keep(_classes(docs, words, m, id_col, text_col), "signatures")
     member = all_rows.where("digest is not null and id is not null")
-    classes = keep(member.groupBy("digest").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("key").alias("key"), F.first("signature").alias("signature")), "classes")
-    # a bucket's only member needs no comparison; of each bucket the rest is kept
+    n = all_rows.count()
+    classes = member.groupBy("digest").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n_shingles", "key", "signature")))
+    classes = keep(_few(classes, n, SIGNED_ROWS), "classes")
+    # a bucket's only member needs no comparison; of each bucket the rest is kept, with the least id, which leads the first round
     entries = _buckets(classes, bands, rows)
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    open_ = keep(entries.join(shared, "bucket").select("bucket", "id"), "buckets")
-    active = keep(classes.select("id", "signature").join(open_.select("id").distinct(), "id", "left_semi"), "active")
+    lead = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a")).where("n > 1").drop("n")
+    open_ = keep(_few(entries.join(lead, "bucket").select("bucket", "id", "a"), n * bands, ID_ROWS), "buckets")
+    active = keep(_few(classes.select("id", "signature").join(open_.select("id").distinct(), "id", "left_semi"), n, SIGNED_ROWS), "active")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    # first round: the least id of a bucket leads
-    lead = open_.groupBy("bucket").agg(F.min("id").alias("a"))
-    pairs = seen = keep(open_.withColumnRenamed("id", "b").join(lead, "bucket").where("a < b").select("a", "b").distinct(), "pairs")
+    led = open_.where("a < id").select("a", F.col("id").alias("b")).distinct()
+    pairs = seen = keep(_few(led, open_.count(), ID_ROWS), "pairs")
+    open_ = open_.select("bucket", "id")
     links = keep(_verify(keep(_agree(pairs, active, m, least), "candidates"), texts, words, percent), "links")
+
     def compare(new: DataFrame) -> None:
         nonlocal seen, links
         new = keep(new.distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
@@ -303,30 +319,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         if crowded:
             rooms, indexed = _rooms(crowd, classes, texts, words, percent)
             rooms = rooms.select("id", F.col("n").alias("set"), "room")
-            many = keep(many.select("bucket", "id", "c").join(rooms, "id"), "many")
+            many = keep(_few(many.select("bucket", "id", "c").join(rooms, "id"), left.count(), ID_ROWS), "many")
             new = new.unionByName(_cross(_hubs(many, ["bucket"]), many, ["bucket"], percent)).unionByName(indexed)
         compare(new)
         comp, left = _open(many.select("bucket", "id").distinct(), links) if crowded else (components(links, "a", "b"), None)
         if crowded and not left.isEmpty():
-            many = keep(left.drop("n").join(rooms, "id"), "many")
+            many = keep(_few(left.drop("n").join(rooms, "id"), left.count(), ID_ROWS), "many")
             core = _hubs(many.where("c = main").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(HUBS))), ["bucket", "part"])
             compare(_cross(core, many.where("c <> main"), ["bucket"], percent))
             comp, left = _open(many.select("bucket", "id").distinct(), links)
-            many = left.drop("n").join(rooms, "id")
+            many = keep(_few(left.drop("n").join(rooms, "id"), left.count(), ID_ROWS), "many")
             # an outsider's partners: not smaller than a link allows, and not larger than its room allows
             high = F.least(F.floor(F.col("room") * (100 + percent) / percent) - F.col("set"), F.floor(F.col("set") * 100 / percent))
             low = F.ceil(F.col("set") * percent / 100)
             at = many.withColumn("class", _size_class(F.col("set"))).drop("main")
             out = many.where((F.col("c") != F.col("main")) & (high >= low)).withColumn("class", F.explode(F.sequence(_size_class(low), _size_class(high)))).drop("main")
-            compare(_cross(keep(out, "outsiders"), keep(at, "many"), ["bucket", "class"], percent))
+            compare(_cross(keep(out, "outsiders"), at, ["bucket", "class"], percent))
             comp = components(links, "a", "b")
     of_class = classes.select("digest", "id").join(comp, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("c"))
-    return _name(all_rows, of_class, id_col)
+    return _name(all_rows, of_class, n, id_col)
 
 
-def _name(all_rows: DataFrame, of_class: DataFrame, id_col: str) -> DataFrame:
+def _name(all_rows: DataFrame, of_class: DataFrame, n: int, id_col: str) -> DataFrame:
     """A component per row. Large classes are looked up by broadcast: there are at most 1000 with over a thousandth of the rows."""
-    n = all_rows.count()
     big = all_rows.where("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(1000, n // 1000)).select("digest")
     hot = keep(of_class.join(big, "digest"), "large-classes")
     rows = all_rows.select("id", "n_shingles", "digest")
