@@ -39,21 +39,26 @@ def error_limits(obs: DataFrame, frame: str, err: str, diagonal: float) -> DataF
 
 
 def classify_landmarks(obs: DataFrame, kp: str, frame: str, depth: str, ex: str, ey: str, diagonal: float,
-                       parallax: str | None = None, fov_diag_rad: float = 1.0, max_dist_coef: float = 2.0) -> DataFrame:
+                       parallax: str | None = None, fov_diag_rad: float = 1.0, max_dist_coef: float = 2.0, votes: Column | None = None) -> DataFrame:
     """(kp, flags, verdict) with verdict good / wait / remove.
 
     Flag 1: behind a camera, error over the normal limit, or too little parallax; flag 2: error over
-    the hard limit.  Limits adapt to the spread of errors in each frame.
+    the hard limit.  Landmarks behind a camera get no error flag and take no part in a frame's spread,
+    to which the limits adapt.  With ``votes`` only observations where it is true set error flags.
     """
-    sd = obs.groupBy(frame).agg(((F.stddev_pop(ex) + F.stddev_pop(ey)) / 2).alias("__sd"))
+    behind = obs.groupBy(kp).agg(F.coalesce(F.bool_or(F.col(depth) < 0), F.lit(False)).alias("__behind"))
+    d = obs.join(behind, kp)
+    sd = d.where(~F.col("__behind")).groupBy(frame).agg(((F.stddev_pop(ex) + F.stddev_pop(ey)) / 2).alias("__sd"))
     e = F.hypot(ex, ey)
     norm = F.greatest(F.lit(REPR_ERR_FOV * diagonal), 2 * F.col("__sd"))
     high = F.greatest(F.lit(MAX_REPR_ERR_FOV * diagonal), 3 * F.col("__sd"))
-    bits = F.when(F.col(depth) < 0, 1).otherwise(0).bitwiseOR(F.when(e > norm, 1).otherwise(0)).bitwiseOR(F.when(e > high, 2).otherwise(0))
-    aggs = [F.bit_or(bits).alias("__b")]
+    errors = F.when(e > norm, 1).otherwise(0).bitwiseOR(F.when(e > high, 2).otherwise(0))
+    if votes is not None:
+        errors = F.when(votes, errors).otherwise(0)
+    aggs = [F.bit_or(F.when(F.col("__behind"), 1).otherwise(errors)).alias("__b")]
     if parallax is not None:
         aggs.append(F.max(parallax).alias("__p"))
-    g = obs.join(sd, frame).groupBy(kp).agg(*aggs)
+    g = d.join(sd, frame, "left").groupBy(kp).agg(*aggs)
     flags = F.col("__b")
     if parallax is not None:
         low = F.col("__p") / fov_diag_rad * max_dist_coef < MAX_REPR_ERR_FOV
@@ -154,12 +159,22 @@ def join_batches(obs: DataFrame, batch: str, ids: Sequence[str], sizes: DataFram
     return obs.join(off, batch).withColumns({c: F.col(c) + F.col(f"__o_{c}") for c in ids}).drop(*[f"__o_{c}" for c in ids])
 
 
-def batch_membership(obs: DataFrame, point: str, batch: str, frozen_from: int = 2) -> DataFrame:
-    """(point, batches, bits, frozen): which batches see a point as a bit set (batch numbers below 63),
-    frozen when fewer than ``frozen_from`` batches do."""
-    bits = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(batch).cast("int"))
-    g = obs.groupBy(point).agg(F.bit_or(bits).alias("bits"))
-    return g.select(point, F.bit_count("bits").cast("bigint").alias("batches"), "bits", (F.bit_count("bits") < frozen_from).alias("frozen"))
+def batch_membership(obs: DataFrame, point: str, batch: str, frozen: DataFrame | None = None) -> DataFrame:
+    """(point, word, bits, batches, frozen): which batches see a point, as words of 60 bits each.
+
+    Bit k of a word stands for batch 60 * word + k (batch numbers from 0).  ``batches`` counts all batches of the point; it is
+    frozen when any of them is in the ``batch`` column of ``frozen``.
+    """
+    b = F.col(batch).cast("bigint")
+    d = obs.select(point, b.alias(batch))
+    if frozen is None:
+        d = d.withColumn("__f", F.lit(False))
+    else:
+        d = d.join(frozen.select(b.alias(batch)).distinct().withColumn("__f", F.lit(True)), batch, "left")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col(batch) % 60).cast("int"))
+    g = d.groupBy(point, F.floor(F.col(batch) / 60).alias("word")).agg(F.bit_or(one).alias("bits"), F.max(F.coalesce("__f", F.lit(False))).alias("__f"))
+    w = W.partitionBy(point)
+    return g.select(point, "word", "bits", F.sum(F.bit_count("bits")).over(w).cast("bigint").alias("batches"), F.max("__f").over(w).alias("frozen"))
 
 
 def viewpoint_angle(point: Column, shift: Column) -> Column:

@@ -63,9 +63,10 @@ def adaptive_error_limits(t):
     return d.select("frame_id", *[F.round(c, 6).alias(c) for c in ("err_med", "norm_err", "max_err")])
 
 
-@query(f"""{PROJ_SQL}, s AS (SELECT frame_id, (stddev_pop(du)+stddev_pop(dv))/2 AS sd FROM proj GROUP BY 1),
-b AS (SELECT kp_id, bit_or(CASE WHEN cz < 0 THEN 1 ELSE 0 END | CASE WHEN sqrt(du*du+dv*dv) > greatest(0.4, 2*sd) + 1e-9 THEN 1 ELSE 0 END | CASE WHEN sqrt(du*du+dv*dv) > greatest(2.4, 3*sd) THEN 2 ELSE 0 END) AS flags
- FROM proj JOIN s USING (frame_id) GROUP BY 1)
+@query(f"""{PROJ_SQL}, h AS (SELECT kp_id, bool_or(cz < 0) AS behind FROM proj GROUP BY 1), q AS (SELECT proj.*, behind FROM proj JOIN h USING (kp_id)),
+s AS (SELECT frame_id, (stddev_pop(du)+stddev_pop(dv))/2 AS sd FROM q WHERE NOT behind GROUP BY 1),
+b AS (SELECT kp_id, bit_or(CASE WHEN behind THEN 1 ELSE CASE WHEN sqrt(du*du+dv*dv) > greatest(0.4, 2*sd) + 1e-9 THEN 1 ELSE 0 END | CASE WHEN sqrt(du*du+dv*dv) > greatest(2.4, 3*sd) THEN 2 ELSE 0 END END) AS flags
+ FROM q LEFT JOIN s USING (frame_id) GROUP BY 1)
 SELECT kp_id, CAST(flags AS INTEGER) AS flags, CASE WHEN flags = 0 THEN 'good' WHEN flags = 1 THEN 'wait' ELSE 'remove' END AS verdict FROM b""")
 def landmark_sanity(t):
     return M.classify_landmarks(projected(t), "kp_id", "frame_id", "cam.z", "du", "dv", DIAG)
@@ -112,7 +113,7 @@ def triangulation_candidates(t):
 
 
 @query("""WITH s AS (SELECT p_partkey AS kp_id, p_size AS total_count, p_partkey % (p_size + 1) AS inlier_count, p_partkey % 3 <> 0 AS active FROM part),
-n AS (SELECT l_partkey AS kp_id, count(*) AS n FROM lineitem WHERE l_orderkey % 10 = 7 AND l_orderkey % 4 <> 1 GROUP BY 1),
+n AS (SELECT l_partkey AS kp_id, count(*) AS n FROM lineitem WHERE l_orderkey % 4 <> 1 GROUP BY 1),
 d AS (SELECT s.*, coalesce(n, 0) AS n_obs, total_count >= 2 AND inlier_count / total_count < 0.15 AS poor FROM s LEFT JOIN n USING (kp_id))
 SELECT kp_id, n_obs, CASE WHEN poor THEN 'ratio' ELSE 'observations' END AS reason FROM d WHERE poor OR (active AND n_obs < 2) OR (NOT active AND n_obs < 3)""")
 def prune_landmarks(t):
@@ -126,12 +127,12 @@ def _counted(t):
 
 
 def _window_obs(t):
-    obs = t.lineitem.where("l_orderkey % 10 = 7").select(F.col("l_partkey").alias("kp_id"), F.col("l_orderkey").alias("frame_id"))
+    obs = t.lineitem.select(F.col("l_partkey").alias("kp_id"), F.col("l_orderkey").alias("frame_id"))
     removed = t.orders.where("o_orderkey % 4 = 1").select(F.col("o_orderkey").alias("frame_id"))
     return obs, "kp_id", removed, "frame_id"
 
 
-@query("""WITH n AS (SELECT l_partkey AS kp_id, count(*) AS n FROM lineitem WHERE l_orderkey % 10 = 7 GROUP BY 1)
+@query("""WITH n AS (SELECT l_partkey AS kp_id, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT p_partkey AS kp_id, p_partkey % 3 <> 0 AND NOT p_partkey % 4 = 0 AS active FROM part LEFT JOIN n ON kp_id = p_partkey WHERE NOT p_partkey % 4 = 0 OR coalesce(n, 0) >= 3""")
 def deactivate_landmarks(t):
     obs = _window_obs(t)[0]
@@ -158,10 +159,10 @@ def keyframe_union(t):
     return gone.withColumn("removed", F.lit(True)).unionByName(o.join(gone, "o_orderkey", "left_anti").withColumn("removed", F.lit(False)))
 
 
-@query("""SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_orderkey % 3 = 0 AND l_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 3 = 1) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 20)""")
+@query("""SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_orderkey % 2 = 0 AND l_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 2 = 1) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 20)""")
 def inlier_intersection(t):
-    a = t.lineitem.where("l_orderkey % 3 = 0").select(F.col("l_partkey").alias("id"))
-    b = t.lineitem.where("l_orderkey % 3 = 1").select(F.col("l_partkey").alias("id"))
+    a = t.lineitem.where("l_orderkey % 2 = 0").select(F.col("l_partkey").alias("id"))
+    b = t.lineitem.where("l_orderkey % 2 = 1").select(F.col("l_partkey").alias("id"))
     good = t.part.where("p_size > 20").select(F.col("p_partkey").alias("id"))
     return a.join(b, "id", "left_semi").join(good, "id", "left_semi").distinct()
 

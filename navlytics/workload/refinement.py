@@ -185,11 +185,14 @@ def rotation_alignment(t):
     return d.select("frame_id", *[rnd(F.col(f"quat.{k}"), 4).alias(k) for k in "wxyz"])
 
 
-@query("""SELECT l_partkey, count(DISTINCT l_linenumber) AS batches, bit_or(1::BIGINT << l_linenumber) AS bits, count(DISTINCT l_linenumber) < 2 AS frozen FROM lineitem GROUP BY 1""")
+@query("""WITH o AS (SELECT l_partkey, l_suppkey % 130 AS b FROM lineitem),
+w AS (SELECT l_partkey, b // 60 AS word, bit_or(1::BIGINT << (b % 60)) AS bits, count(DISTINCT b) AS n, bool_or(b % 7 = 0) AS f FROM o GROUP BY 1, 2)
+SELECT l_partkey, word, bits, (sum(n) OVER p)::BIGINT AS batches, bool_or(f) OVER p AS frozen FROM w WINDOW p AS (PARTITION BY l_partkey)""")
 def batch_membership(t):
     from navlytics.plans.mapping import batch_membership as membership
 
-    return membership(t.lineitem, "l_partkey", "l_linenumber")
+    obs = t.lineitem.select("l_partkey", (F.col("l_suppkey") % 130).alias("batch"))
+    return membership(obs, "l_partkey", "batch", obs.select("batch").where("batch % 7 = 0"))
 
 
 @query(f"""{PROJ_SQL} SELECT frame_id, kp_id, round(degrees(acos(least(greatest((cx*(cx+lx)+cy*(cy+ly)+cz*(cz+lz))/(sqrt(cx*cx+cy*cy+cz*cz)*sqrt(pow(cx+lx,2)+pow(cy+ly,2)+pow(cz+lz,2))),-1),1))),3) AS deg

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from navlytics.operators.nearest import knn_join
+from navlytics.plans.mapping import batch_membership, classify_landmarks
 from navlytics.sources.telemetry import frame_number
 
 
@@ -17,3 +18,20 @@ def test_knn_leaves_out_nan_and_null(spark):
     hay = spark.createDataFrame([(1, [1.0, 2.0]), (2, [nan, 0.0]), (3, [4.0, 4.0]), (4, None)], "h long, v array<double>")
     got = knn_join(needles, hay, "n", "h", "v", 1).collect()
     assert sorted((r.n, r.hay_id) for r in got) == [(1, 1), (2, 3)]
+
+
+def test_batches_beyond_one_word(spark):
+    obs = spark.createDataFrame([(1, 6), (1, 70), (2, 3), (2, 3)], "p long, b long")
+    got = batch_membership(obs, "p", "b", spark.createDataFrame([(70,), (70,)], "b long")).collect()
+    assert sorted((r.p, r.word, r.bits, r.batches, r.frozen) for r in got) == [(1, 0, 1 << 6, 2, True), (1, 1, 1 << 10, 2, True), (2, 0, 1 << 3, 1, False)]
+    assert not any(r.frozen for r in batch_membership(obs, "p", "b").collect())
+
+
+def test_landmark_behind_a_camera_waits(spark):
+    """It gets no error flag, and its errors do not widen the limits of the frame."""
+    rows = [(1, 1, -1.0, 50.0, 0.0), (2, 1, 1.0, 0.1, 0.0), (3, 1, 1.0, 9.0, 0.0), *((10 + k, 1, 1.0, 0.0, 0.0) for k in range(20)), (4, 2, -1.0, 0.0, 0.0)]
+    obs = spark.createDataFrame(rows, "kp long, f long, z double, ex double, ey double")
+    got = {r.kp: r.verdict for r in classify_landmarks(obs, "kp", "f", "z", "ex", "ey", 800.0).collect()}
+    assert (got[1], got[2], got[3], got[4]) == ("wait", "good", "remove", "wait")
+    calm = classify_landmarks(obs, "kp", "f", "z", "ex", "ey", 800.0, votes=F.col("f") == 2).collect()
+    assert {r.kp: r.verdict for r in calm}[3] == "good"
