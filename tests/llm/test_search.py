@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from navlytics.llm import minhash, topk, warc
 from navlytics.llm.components import components
-from navlytics.llm.components import components
 
 
 def test_loser_tree_merges_sorted_runs():
@@ -56,7 +55,7 @@ def test_topk(spark, kind):
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_components(spark):
+def test_components_of_random_links(spark):
     rng = random.Random(1)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1150)] + [(5, 5), (None, 3)]
     rng.shuffle(links)
