@@ -32,22 +32,25 @@ LENGTHS = (8, 16, 32, 64, 128, 256, 1024)
 UNKNOWN = "und"
 
 
-def counts(text: str) -> tuple[np.ndarray, np.ndarray, int]:
+def counts(text: str, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, int]:
     """(n-gram slots, counts, letters) of a text: lower case, what is no letter counts as one space, words padded by spaces.
 
     The slots come from a fixed hash of the code points, so they are the same on every executor. A whole text is taken in
-    pieces of bounded size; pieces are cut between letters, where the n-grams across the cut are counted too.
+    pieces of at most ``step`` code points, cut after a space where there is one, since lower case can depend on the rest of the
+    word. A run of spaces across a cut is one space, and n-grams across a cut are counted, so the result does not depend on ``step``.
     """
-    total, letters, tail = np.zeros(DIMS, np.int64), 0, np.zeros(0, np.uint32)
-    step = 1 << 18
-    for at in range(0, len(text), step):
-        c = np.frombuffer(text[at:at + step].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    total, letters, tail, at = np.zeros(DIMS, np.int64), 0, np.zeros(0, np.uint32), 0
+    pad, none = np.array([32], np.uint32), np.zeros(0, np.uint32)
+    while at < len(text):
+        end = at + step
+        if end < len(text):
+            end = text.rfind(" ", at, end) + 1 or end
+        c = np.frombuffer(text[at:end].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         ok = _letter(c)
         letters += int(ok.sum())
-        c = np.where(ok, c, np.uint32(32))
-        c = np.concatenate([tail if at else np.array([32], np.uint32), c] + ([np.array([32], np.uint32)] if at + step >= len(text) else []))
-        new = len(c) - len(tail) if at else len(c)
-        c = c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])] if not at else c
+        c = np.concatenate([tail if at else pad, np.where(ok, c, np.uint32(32)), pad if end >= len(text) else none])
+        c = c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])]
+        new = len(c) - len(tail)  # the tail has no two spaces, so all of it is still there
         h = np.zeros(len(c), np.uint64)
         for n in range(1, max(GRAMS) + 1):
             if len(c) < n:
@@ -55,9 +58,8 @@ def counts(text: str) -> tuple[np.ndarray, np.ndarray, int]:
             h = (h[:len(c) - n + 1] * np.uint64(0x9E3779B97F4A7C15)) ^ (c[n - 1:].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
             if n in GRAMS:
                 slot = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - DIMS.bit_length() + 1)
-                fresh = slot if not at else slot[max(0, len(slot) - new):]
-                total += np.bincount(fresh.astype(np.int64), minlength=DIMS)
-        tail = c[-(max(GRAMS) - 1):]
+                total += np.bincount(slot[max(0, len(slot) - new):].astype(np.int64), minlength=DIMS)
+        tail, at = c[-(max(GRAMS) - 1):], end
     slots = np.flatnonzero(total)
     return slots, total[slots], letters
 

@@ -34,6 +34,27 @@ def test_language_edge_cases(spark):
     assert none.languages == () and none.predict("text") == ("und", 0.0, True)
 
 
+def test_long_texts_count_as_if_in_one_piece():
+    import random
+
+    rng = random.Random(4)
+    words = ["and", "the", "table", "οδος", "ΟΔΟΣ", "größe", "İzmir", "12,345.67", "--", "0 0  0", "\n\n\t", "(3)"]
+    text = "7 7" + " ".join(rng.choice(words) for _ in range(120_000)) + " 99 "
+    assert len(text) > 2 * (1 << 18)
+
+    def same(a, b):
+        return a[2] == b[2] and a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
+
+    whole = langid.counts(text, step=len(text) + 1)
+    assert same(langid.counts(text), whole)
+    short = text[:3000]
+    assert all(same(langid.counts(short, step=k), langid.counts(short)) for k in (20, 500, 2999, 3000))
+    short = short.lower()  # pieces shorter than a word are cut in it
+    assert all(same(langid.counts(short, step=k), langid.counts(short)) for k in (1, 2, 3, 5))
+    table = "word " + "1234567890 " * 60_000 + "word"  # one run of non-letters over several cuts
+    assert same(langid.counts(table), langid.counts("word word"))
+
+
 def test_extraction_of_held_out_layouts():
     chain = html_text.model()
     right = wrong = pages = 0
