@@ -113,6 +113,38 @@ def test_joint_solve_lowers_the_cost(scene):
     assert res.stats[-1]["success"] and res.cost < 0.2 * res.stats[0]["cost"]
 
 
+def test_joint_solve_says_whether_it_converged(spark, scene, monkeypatch):
+    noisy = scene["obs"].withColumns({"u": F.col("u") + F.sin(7 * F.col("kp_id") + F.col("frame_id")), "v": F.col("v") + F.cos(5 * F.col("kp_id") + F.col("frame_id"))})
+    few = A.Settings(huber_px=1e9, huber_loc=1e9, max_iters=1, cg_iters=1, max_tries=1)
+    with pytest.warns(RuntimeWarning, match="not converged"):
+        res = A.bundle_adjust(noisy, scene["poses"], scene["points"], CAM, few, scene["meas"])
+    assert not res.converged and res.stats[-1]["cg_iters"] == 1 and not res.stats[-1]["cg_converged"]
+    full = A.Settings(huber_px=1e9, huber_loc=1e9, ftol=0.02, cg_tol=0.02)
+    res = A.bundle_adjust(noisy, scene["poses"], scene["points"], CAM, full, scene["meas"])
+    assert res.converged and len(res.stats) > 2 and res.stats[-1]["cg_residual"] <= 0.02
+
+    from navlytics.workload import refinement
+
+    asked = []
+    monkeypatch.setattr(A, "bundle_adjust", lambda *a, **k: asked.append(a[4:5] or k.get("s")) or A.Result(a[1], a[2], 0.0))
+    refinement.map_refinement(refinement_tables(spark))
+    assert asked == [None]  # the library's settings
+
+
+def refinement_tables(spark):
+    from navlytics.workload.base import Tables
+
+    return Tables(spark, "/root/testdata/sf0.001")
+
+
+def test_pose_refinement_goes_on_until_frames_rest(spark, scene):
+    pts = spark.createDataFrame([(k, row(p)) for k, p in enumerate(scene["pts"])], f"kp_id long, pt {VEC}")
+    out = A.refine_poses(scene["obs"], scene["poses"], pts, CAM, A.Settings(huber_px=1e9)).orderBy("frame_id").collect()
+    np.testing.assert_allclose([list(r.loc) for r in out], scene["loc"], atol=1e-4)
+    with pytest.warns(RuntimeWarning, match="still move"):
+        A.refine_poses(scene["obs"], scene["poses"], pts, CAM, A.Settings(huber_px=1e9, max_iters=1))
+
+
 def test_closed_forms(spark, scene):
     cam = scene["cam"]
     rows = [(k, [float(x) for x in np.hstack([rodrigues(scene["rot"][f]), scene["loc"][f][:, None]]).ravel()], float(cam[f, k, 0] / cam[f, k, 2]), float(cam[f, k, 1] / cam[f, k, 2]))
