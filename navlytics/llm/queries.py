@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from navlytics.llm import bpe, chat, exact_index, html_text, langid, minhash, packing, token_files, topk, warc
+from navlytics.llm import bpe, centroids, chat, exact_index, html_text, langid, minhash, packing, token_files, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +114,28 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def _cluster_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT vec_id, any_value(x.v) AS v, min(struct_pack(d := CAST(list_sum(list_transform(list_zip(x.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT),
+  c := c.c)) AS m FROM x, c{r} c GROUP BY vec_id)""")
+        if r < rounds:
+            steps.append(f"""
+f{r} AS (SELECT c, i, CAST(sum(e) AS BIGINT) AS s, count(*) AS n FROM (SELECT m.c AS c, unnest(v) AS e, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY c, i),
+g{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM f{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(g.v, o.v) AS v FROM c{r} o LEFT JOIN g{r} g ON g.c = o.c)""")
+    return f"""
+WITH x AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS MATERIALIZED (SELECT * FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v FROM x) WHERE c < {k}),{','.join(steps)}
+SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(l.v, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} l ON l.c = m.c
+"""
+
+
+@query(_cluster_sql())
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))

@@ -37,3 +37,9 @@ def create(uri: str) -> BinaryIO:
 def read(uri: str) -> BinaryIO:
     files, path = _at(uri)
     return files.open_input_stream(path, compression=None, buffer_size=1 << 20)
+
+
+def discard(uri: str) -> None:
+    """Remove a folder that this call wrote and that nothing reads any more."""
+    files, path = _at(uri)
+    files.delete_dir(path)
