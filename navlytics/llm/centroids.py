@@ -93,8 +93,10 @@ def _moved(state: DataFrame, dims: int) -> dict[int, tuple[int, list[int]]]:
                 [pa.array(list(held), pa.int32()), _lists(np.vstack(list(held.values())), pa.int64())], names=["cluster", "s"])
 
     parts = state.where(~F.col("cluster").eqNullSafe(F.col("before"))).select("cluster", "before", "v").mapInArrow(run, "cluster int, s array<long>")
-    total = parts.groupBy("cluster").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(dims + 1)]).alias("s"))
-    return {r.cluster: (r.s[0], r.s[1:]) for r in total.collect()}  # at most k rows
+    total: dict[int, list[int]] = {}
+    for r in parts.select("cluster", F.posexplode("s")).groupBy("cluster", "pos").agg(F.sum("col").alias("s")).collect():  # at most k * (dims + 1) rows
+        total.setdefault(r.cluster, [0] * (dims + 1))[r.pos] = r.s
+    return {j: (s[0], s[1:]) for j, s in total.items()}
 
 
 def starts(rows: DataFrame, k: int, salt: str) -> list[list[int]]:

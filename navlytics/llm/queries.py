@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from navlytics.llm import bpe, centroids, chat, exact_index, html_text, langid, minhash, packing, token_files, topk, warc
+from navlytics.llm import bpe, centroids, chat, exact_index, html_text, langid, merkle, minhash, packing, suffix_dedup, token_files, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,3 +139,62 @@ SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) O
 @query(_cluster_sql())
 def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _merkle_sql(levels: int = 9) -> str:
+    leaf = lambda text: " || ".join(
+        f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text))
+    steps = []
+
+    def build(name: str, by: str) -> None:
+        for i in range(levels):
+            steps.append(f"""
+{name}{i + 1} AS MATERIALIZED (SELECT {by}, i // 8 AS i, CASE WHEN max(n) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d,
+  (max(n) + 7) // 8 AS n FROM {name}{i} GROUP BY {by}, i // 8)""")
+
+    def climb(name: str, tree: str, by: str, first: str) -> str:
+        """Fold and proof of every leaf through one tree, by one join per level."""
+        last = first
+        for i in range(levels):
+            steps.append(f"""
+{name}{i + 1} AS MATERIALIZED (SELECT c.doc_id, any_value(c.leaf) AS leaf, any_value(c.g) AS g, any_value(c.i) // 8 AS i,
+  CASE WHEN max(t.n) = 1 THEN any_value(c.fold) ELSE sha256(string_agg(CASE WHEN t.i = c.i THEN c.fold ELSE t.d END, '' ORDER BY t.i)) END AS fold,
+  any_value(c.proof) || coalesce(string_agg(t.d, '' ORDER BY t.i) FILTER (t.i <> c.i), '') AS proof
+  FROM {last} c JOIN {tree}{i} t ON t.{by} = c.{'g' if by == 'g' else 'one'} AND t.i // 8 = c.i // 8 GROUP BY c.doc_id)""".replace(
+                "any_value(c.g) AS g", "any_value(c.g) AS g, any_value(c.one) AS one"))
+            last = f"{name}{i + 1}"
+        return last
+
+    build("t", "g")
+    build("u", "one")
+    up = climb("p", "t", "g", "p0")
+    steps.append(f"""
+q0 AS MATERIALIZED (SELECT doc_id, leaf, g, 0 AS one, g AS i, fold, proof FROM {up})""")
+    end = climb("q", "u", "one", "q0")
+    crc = ("list_reduce([4294967295::UBIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::UBIGINT), "
+           "lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, z: xor(d >> 1, 3988292384::UBIGINT * (d & 1))))")
+    tampered = f"CASE WHEN xor({crc}, 4294967295::UBIGINT) % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+    # roots of single languages are at level `levels` of t; the tree over them starts from these
+    body = ",".join(s for s in steps if s.strip().startswith("t")) + f""",
+u0 AS MATERIALIZED (SELECT 0 AS one, g AS i, d, count(*) OVER () AS n FROM t{levels}),""" + ",".join(s for s in steps if not s.strip().startswith("t"))
+    return f"""
+WITH l AS MATERIALIZED (SELECT doc_id, sha256({leaf('text')}) AS leaf, sha256({leaf('(' + tampered + ')')}) AS seen,
+  dense_rank() OVER (ORDER BY lang IS NOT NULL, lang) - 1 AS g, lang FROM documents),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM l),
+t0 AS MATERIALIZED (SELECT g, i, leaf AS d, n FROM n),
+p0 AS MATERIALIZED (SELECT doc_id, leaf, g, 0 AS one, i, seen AS fold, '' AS proof FROM n),{body}
+SELECT doc_id, leaf, t.d AS subroot, u.d AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = u.d AS verified
+FROM {end} e JOIN t{levels} t ON t.g = e.g CROSS JOIN u{levels} u
+"""
+
+
+@query(_merkle_sql())
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, merkle.lower_ascii(text)).otherwise(text)
+    return merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", {"text": tampered})
+
+
+@query()
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
