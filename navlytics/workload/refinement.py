@@ -202,3 +202,28 @@ def viewpoint_angles(t):
 
     d = projected(t).withColumn("deg", F.degrees(viewpoint_angle(F.col("cam"), F.col("loc")))).where("deg > 3")
     return d.select("frame_id", "kp_id", F.round("deg", 3).alias("deg"))
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_extendedprice / 1000 AS v, l_discount * 100 AS z, 1 + l_tax * 100 AS p,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey) >= 2),
+t AS (SELECT a.l_orderkey AS k, a.q, a.v, b.p, b.z FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND a.n = 1 AND b.n = 2)
+SELECT k * 10 + 2 AS frame_id, round(p * q / (p + q), 6) + 0.0 AS known, round(p * (z + (q * v - p * z) / (p + q)) + 1e-8, 4) + 0.0 AS pull FROM t""")
+def marginal_prior(t):
+    """What a measured first frame and the step to the second tell about the second once the first is dropped, for every order's first two lines."""
+    from pyspark.sql import Window as W
+
+    from navlytics.plans import prior as M
+
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")  # an order has a few lines
+    d = t.lineitem.withColumn("n", F.row_number().over(w)).withColumn("lines", F.count(F.lit(1)).over(W.partitionBy("l_orderkey"))).where("lines >= 2 AND n <= 2")
+    frame = F.col("l_orderkey") * 10
+    along = lambda c: F.array(*[F.lit(0.0)] * 3, c, F.lit(0.0), F.lit(0.0))
+    sd, weight = F.sqrt("l_quantity"), F.sqrt(1 + F.col("l_tax") * 100)
+    seen = d.where("n = 1").select((frame * 10).alias("row_id"), (frame + 1).alias("frame_id"), along(-sd).alias("j"), F.array(sd * F.col("l_extendedprice") / 1000).alias("e"))
+    step = d.where("n = 2").withColumn("side", F.explode(F.array(F.lit(1), F.lit(2)))).select(
+        (frame * 10 + 1).alias("row_id"), (frame + F.col("side")).alias("frame_id"),
+        along(F.when(F.col("side") == 1, weight).otherwise(-weight)).alias("j"), F.array(weight * F.col("l_discount") * 100).alias("e"))
+    blocks, rhs = M.factors(seen.unionByName(step), 1)
+    blocks, rhs = M.eliminate(blocks, rhs, seen.select("frame_id"))
+    j = blocks.where("fa = fb").select(F.col("fa").alias("frame_id"), F.col("h")[21].alias("known")).join(rhs, "frame_id")
+    return j.select("frame_id", rnd(F.col("known"), 6).alias("known"), rnd(F.col("b")[3] + 1e-8, 4).alias("pull"))
