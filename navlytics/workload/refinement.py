@@ -11,7 +11,7 @@ from navlytics.functions import vectors as V
 from navlytics.functions.camera import Camera
 from navlytics.operators.nearest import block_best
 from navlytics.plans import adjust as A
-from navlytics.workload.base import FRAMES_SQL, PROJ_SQL, frames, landmarks, projected, q_rot, query, rnd
+from navlytics.workload.base import FRAMES_SQL, PROJ_SQL, frames, landmarks, observations, projected, q_rot, query, rnd
 
 CAM = Camera(640, 480, 500.0, 510.0, 320.0, 240.0)
 
@@ -227,3 +227,30 @@ def marginal_prior(t):
     blocks, rhs = M.eliminate(blocks, rhs, seen.select("frame_id"))
     j = blocks.where("fa = fb").select(F.col("fa").alias("frame_id"), F.col("h")[21].alias("known")).join(rhs, "frame_id")
     return j.select("frame_id", rnd(F.col("known"), 6).alias("known"), rnd(F.col("b")[3] + 1e-8, 4).alias("pull"))
+
+
+@query("""WITH v AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part)),
+f AS (SELECT l_orderkey, count(*) AS n FROM v WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1 HAVING count(*) >= 4)
+SELECT o_custkey % 7 AS cam_id, 500.0 + 5 * (o_custkey % 7) AS fx, 510.0 - 4 * (o_custkey % 7) AS fy, round(-0.12 + 0.01 * (o_custkey % 7), 3) AS k1,
+  round(0.03 - 0.002 * (o_custkey % 7), 3) AS k2, CAST(sum(n) AS BIGINT) AS n_obs, true AS converged FROM orders JOIN f ON o_orderkey = l_orderkey GROUP BY 1, 2, 3, 4, 5""")
+def camera_calibration(t):
+    """Focal lengths and radial distortion of seven cameras with their frames' poses, from exact views in frames that see four landmarks or more.
+
+    The solve starts from one wrong camera and shifted poses; the true cameras come back.
+    """
+    from navlytics.functions.vectors import vec
+    from navlytics.plans import calibration as K
+
+    own = (F.col("session") % 7).alias("cam_id")
+    d = observations(t).join(frames(t).select("frame_id", "session", "quat", "loc"), "frame_id").join(landmarks(t), "kp_id")
+    many = d.groupBy("frame_id").count().where("count >= 4").select("frame_id")
+    d = d.join(many, "frame_id").withColumn("c", V.add(R.rotate(F.col("quat"), F.col("pt")), F.col("loc"))).withColumn("cam", F.col("session") % 7)
+    d = d.withColumns({"x": F.col("c.x") / F.col("c.z"), "y": F.col("c.y") / F.col("c.z")}).withColumn("r2", F.col("x") ** 2 + F.col("y") ** 2)
+    rad = 1 + F.col("r2") * ((-0.12 + 0.01 * F.col("cam")) + F.col("r2") * (0.03 - 0.002 * F.col("cam")))
+    obs = d.select("frame_id", "kp_id", (F.col("x") * rad * (500 + 5 * F.col("cam")) + 320).alias("u"), (F.col("y") * rad * (510 - 4 * F.col("cam")) + 240).alias("v"))
+    poses = frames(t).join(many, "frame_id").select(
+        "frame_id", own, R.compose_rotvecs(vec(0.002, -0.001, 0.001), R.to_rotvec(F.col("quat"))).alias("rot"), V.add(F.col("loc"), vec(0.2, -0.2, 0.3)).alias("loc"))
+    start = {"fx": 505.0, "fy": 505.0, "cx": 320.0, "cy": 240.0, "k1": 0.0, "k2": 0.0, "p1": 0.0, "p2": 0.0}
+    cams = poses.select("cam_id").distinct().select("cam_id", *[F.lit(v).alias(c) for c, v in start.items()])
+    res = K.calibrate(obs, poses, landmarks(t), cams, s=A.Settings(huber_px=1e9, ftol=1e-9))
+    return res.cams.select("cam_id", F.round("fx", 1).alias("fx"), F.round("fy", 1).alias("fy"), F.round("k1", 3).alias("k1"), F.round("k2", 3).alias("k2"), "n_obs", "converged")
