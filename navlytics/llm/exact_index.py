@@ -11,9 +11,11 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from navlytics.llm.shared import keep, new_folder
+from navlytics.llm.shared import create, keep, new_folder, read
 
 SPACE = r"[\x20\x09-\x0D]+"
+#: The file beside an index's data that holds its number of buckets; Spark does not read names with an underscore.
+_BUCKETS = "_buckets"
 SCHEMA = "digest binary, keep_id bigint, n bigint"
 #: A digest with more rows than this share of a batch, and over HOT_ROWS, is looked up by broadcast: at most 1/HOT_SHARE of them.
 HOT_SHARE, HOT_ROWS = 1 / 1000, 1000
@@ -25,16 +27,38 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """``path`` names an existing or new index; without it the index gets a folder of its own below the shared folder."""
+    """``path`` names an existing or new index; without it the index gets a folder of its own below the shared folder.
+
+    The number of buckets is part of the data, so a new index writes it beside them; an existing one is read with its own number, and
+    asking for another one raises.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.path = path or new_folder(spark, "digests")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = self._recorded(buckets) if path else None
+        if not self.buckets:
+            self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            with create(f"{self.path}/{_BUCKETS}") as f:
+                f.write(str(self.buckets).encode())
         self.table = f"digests_{uuid.uuid4().hex}"
         spark.sql(f"CREATE TABLE {self.table} ({SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) "
                   f"INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
 
+    def _recorded(self, wanted: int | None) -> int | None:
+        try:
+            with read(f"{self.path}/{_BUCKETS}") as f:
+                found = int(f.read())
+        except FileNotFoundError:
+            return None
+        if wanted and wanted != found:
+            raise ValueError(f"the index at {self.path} has {found} buckets, not {wanted}")
+        return found
+
+    def close(self) -> None:
+        """Drop the catalog's entry; the index stays at its path."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def state(self) -> DataFrame:
         """One row per digest; grouping needs no shuffle since the table is bucketed by it."""
         self.spark.catalog.refreshTable(self.table)
