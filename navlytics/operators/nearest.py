@@ -127,7 +127,8 @@ def _measurable(df: DataFrame, vec: str) -> Column:
     holds = df.schema[vec].dataType
     ok = F.col(vec).isNotNull()
     if isinstance(holds, T.ArrayType):
-        ok = ok & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x))
+        # NaN counts as above infinity, so one comparison keeps finite components only
+        ok = ok & F.forall(vec, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
     return ok
 
 

@@ -35,3 +35,13 @@ def test_landmark_behind_a_camera_waits(spark):
     assert (got[1], got[2], got[3], got[4]) == ("wait", "good", "remove", "wait")
     calm = classify_landmarks(obs, "kp", "f", "z", "ex", "ey", 800.0, votes=F.col("f") == 2).collect()
     assert {r.kp: r.verdict for r in calm}[3] == "good"
+
+
+def test_infinite_components_lose_no_match(spark):
+    from navlytics.operators.nearest import knn_join
+
+    needles = spark.createDataFrame([(1, [1.0, 2.0]), (2, [5.0, 5.0])], "n long, v array<double>")
+    for odd in (2, 5, 7):
+        hay = spark.createDataFrame([(odd, [float("inf"), 0.0]), (3 if odd != 3 else 9, [1.0, 2.0]), (4, [4.0, 4.0])], "h long, v array<double>")
+        got = {r.n: r.hay_id for r in knn_join(needles, hay, "n", "h", "v").collect()}
+        assert got == {1: 3, 2: 4}
