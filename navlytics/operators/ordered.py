@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from navlytics.session import parallelism
+from navlytics.session import cut_lineage, parallelism
 
 SLICE = "__slice"
 _TIE_STRIDE = 1_000_000
@@ -149,6 +149,45 @@ class Ordered:
         return joined.select(*keep, *[c.alias(k) for k, c in out.items()])
 
 
+def _composed(df: DataFrame, parts: list[str], order: list[str], rows: int) -> DataFrame:
+    """Columns __a, __b of each row after those of all rows before it in its part: doubling steps over one sort.
+
+    A row's map y -> a y + b is composed with that of the row 1, 2, 4, ... before it, so neither division nor a loop over rows is needed
+    and maps with a = 0 are no special case.
+    """
+    w = W.partitionBy(*parts).orderBy(*order)
+    step = 1
+    while step < rows:
+        before = F.lag(F.struct("__a", "__b"), step).over(w)
+        df = df.withColumn("__p", before)
+        df = df.withColumns({"__b": F.col("__a") * F.coalesce("__p.__b", F.lit(0.0)) + F.col("__b"),
+                             "__a": F.col("__a") * F.coalesce("__p.__a", F.lit(1.0))}).drop("__p")
+        step *= 2
+    return df
+
+
+def affine_scan(df: DataFrame, keys: Sequence[str], order: str, tie: str, a: Column, b: Column, out: str, n: int | None = None) -> DataFrame:
+    """Append ``out``: y = a y' + b with y' the value of the row before, 0 before the first row of a key.
+
+    Maps are composed inside slices; one map per (key, slice) is composed across slices and carried in. A row whose ``a`` or ``b`` is NULL
+    leaves the value as it is.
+    """
+    known = a.isNotNull() & b.isNotNull()
+    o = Ordered(df, keys, order, tie, n).df.withColumns({
+        "__a": F.when(known, a.cast("double")).otherwise(1.0), "__b": F.when(known, b.cast("double")).otherwise(0.0)})
+    parts = [*keys, SLICE]
+    o = cut_lineage(o)  # the number of steps is counted on the rows that are then worked on
+    most = o.groupBy(*parts).count().agg(F.max("count")).first()[0] or 0
+    o = _composed(o, parts, [order, tie], most)
+    ends = o.groupBy(*parts).agg(F.max_by(F.struct("__a", "__b"), F.struct(order, tie)).alias("__e")).select(*parts, "__e.*")
+    slices = ends.select(SLICE).distinct().count()
+    across = W.partitionBy(*keys).orderBy(SLICE) if keys else W.partitionBy(F.lit(0)).orderBy(SLICE)
+    ends = _composed(ends, list(keys) or [F.lit(0)], [SLICE], slices).select(*parts, F.lag("__b").over(across).alias("__c"))
+    j = o.join(ends, parts)
+    keep = [c for c in df.columns if c != SLICE and c != out]
+    return j.select(*keep, (F.col("__a") * F.coalesce("__c", F.lit(0.0)) + F.col("__b")).alias(out))
+
+
 def dense_ids(df: DataFrame, key: str, out: str = "dense_id", tie: str | None = None) -> DataFrame:
     """0-based consecutive numbers in key order, without a global sort in one task."""
     ranked = Ordered(df, [], key, tie or key).prefix(rank="__rank")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from navlytics.functions import poses as P
-from navlytics.operators.ordered import Ordered, asof_backward
+from navlytics.operators.ordered import affine_scan, Ordered, asof_backward
 
 TELEMETRY_SCHEMA = (
     "session STRING, ts_us BIGINT, lat DOUBLE, lon DOUBLE, alt DOUBLE, roll DOUBLE, pitch DOUBLE, yaw DOUBLE, "
@@ -117,6 +117,17 @@ def centred_mean(df: DataFrame, keys: Sequence[str], order: str, tie: str, cols:
     return o.withColumns(out).drop(*[f"__{x}_{c}" for c in cols for x in "ab"])
 
 
+def exponential_mean(df: DataFrame, keys: Sequence[str], order: str, tie: str, value: str, out: str, keep: float = 0.8) -> DataFrame:
+    """Drift filter in batch form: keep * mean so far + (1 - keep) * value, starting at a key's first value that is not NULL.
+
+    NULL values leave the mean as it is; before the first value it is NULL.
+    """
+    o = Ordered(df, keys, order, tie).prefix(total={"__seen": F.col(value).isNotNull().cast("bigint")}, keep_slice=True)
+    first = (F.col("__seen") == 1) & F.col(value).isNotNull()
+    d = affine_scan(o, keys, order, tie, F.when(first, 0.0).otherwise(keep), F.when(first, F.col(value)).otherwise((1.0 - keep) * F.col(value)), out)
+    return d.withColumn(out, F.when(F.col("__seen") > 0, F.col(out))).drop("__seen")
+
+
 def synthesise_frames(df: DataFrame, keys: Sequence[str], order: str, tie: str, cols: Sequence[str], n: int = 10) -> DataFrame:
     """``n`` frames per pair of consecutive rows with linearly interpolated values; only the first
     frame of a pair carries the measure."""

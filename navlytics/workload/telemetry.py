@@ -171,3 +171,15 @@ def interp_location(t):
     k = e.where("event_type <> 'view'").select("user_id", F.col("x").alias("kt"), F.col("value").alias("kv"))
     q = e.where("event_type = 'view'").select("user_id", "event_id", "x")
     return S.cubic_at(q, k, ["user_id"], "x", "kt", "kv", "event_id").select("user_id", "event_id", rnd(F.col("interp"), 2).alias("interp"))
+
+
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, CASE WHEN event_type <> 'error' THEN value END AS v,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, n, v AS m FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN r.m IS NULL THEN e.v WHEN e.v IS NULL THEN r.m ELSE 0.8 * r.m + 0.2 * e.v END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT user_id, event_id, round(m + 1e-9, 4) AS smooth FROM r""")
+def drift_filter_batch(t):
+    """The drift filter over whole sessions; errors carry no value."""
+    e = t.events.select("user_id", "event_id", micros("ts").alias("us"), F.when(F.col("event_type") != "error", F.col("value")).alias("value"))
+    d = S.exponential_mean(e, ["user_id"], "us", "event_id", "value", "smooth")
+    return d.select("user_id", "event_id", F.round(F.col("smooth") + 1e-9, 4).alias("smooth"))

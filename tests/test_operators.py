@@ -157,3 +157,22 @@ def test_box_sums_mirror_border(spark):
     want = sum(pad[i : i + 4, j : j + 5] for i in range(3) for j in range(3))
     np.testing.assert_allclose(got.s.to_numpy().reshape(4, 5), want)
     assert (got.n == 9).all()
+
+
+def test_affine_scan_equals_a_loop(spark):
+    import random
+
+    from navlytics.operators.ordered import affine_scan
+
+    rnd = random.Random(2)
+    rows = [(k, t, i, rnd.choice([0.0, 1.0, -0.5, 0.9, None]), rnd.choice([rnd.uniform(-1, 1), None])) for i, (k, t) in enumerate((k, t // 2) for k in (1, 2, 3) for t in range(20 if k == 3 else 130))]
+    want, y = {}, {}
+    for k, t, i, a, b in sorted(rows):
+        y[k] = y.get(k, 0.0) if a is None or b is None else a * y.get(k, 0.0) + b
+        want[i] = y[k]
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "k long, t long, i long, a double, b double")
+    got = {r.i: r.y for r in affine_scan(df, ["k"], "t", "i", F.col("a"), F.col("b"), "y", n=5).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    assert affine_scan(df.limit(0), ["k"], "t", "i", F.col("a"), F.col("b"), "y", n=5).count() == 0
