@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from navlytics.session import cut_lineage, parallelism
+from navlytics.session import parallelism, written
 
 SLICE = "__slice"
 _TIE_STRIDE = 1_000_000
@@ -176,7 +176,7 @@ def affine_scan(df: DataFrame, keys: Sequence[str], order: str, tie: str, a: Col
     o = Ordered(df, keys, order, tie, n).df.withColumns({
         "__a": F.when(known, a.cast("double")).otherwise(1.0), "__b": F.when(known, b.cast("double")).otherwise(0.0)})
     parts = [*keys, SLICE]
-    o = cut_lineage(o)  # the number of steps is counted on the rows that are then worked on
+    o = written(o, "scan")  # the number of steps is counted on the rows that are then worked on
     most = o.groupBy(*parts).count().agg(F.max("count")).first()[0] or 0
     o = _composed(o, parts, [order, tie], most)
     ends = o.groupBy(*parts).agg(F.max_by(F.struct("__a", "__b"), F.struct(order, tie)).alias("__e")).select(*parts, "__e.*")
