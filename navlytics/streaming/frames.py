@@ -23,17 +23,21 @@ KEYFRAME_OUT = "session BIGINT, frame_id BIGINT, t DOUBLE, track_no INT, is_keyf
 KEYFRAME_STATE = "last_t DOUBLE, track_no INT, kf_t DOUBLE, w DOUBLE, x DOUBLE, y DOUBLE, z DOUBLE, kf_count INT, window ARRAY<BIGINT>"
 
 
-def thin_window(ids: list[int], limit: int, fifo: int) -> list[int]:
-    """Keyframe numbers to keep: the newest ``fifo`` and, before them, gaps close to an exponential
-    spacing; the number whose gap falls shortest is dropped until ``limit`` remain."""
-    ids = list(ids)
-    if fifo >= limit:
-        return ids[-limit:]
-    while len(ids) > limit:
-        n = len(ids) - fifo
-        want = 10 ** (1 - np.arange(n) / n)
-        ids.pop(int(np.argmax(want - np.diff(ids[: n + 1]))) + 1)
-    return ids
+def thin_window(ids: list[int], limit: int, fifo: int, active: dict[int, int] | None = None) -> list[int]:
+    """Keyframe numbers to keep, at most ``limit``: the newest ``fifo`` and, before them, ever wider gaps.
+
+    ``active`` counts the active landmarks of keyframes; older keyframes that have none go first. Then, one at a time, goes the later end of the gap that
+    falls furthest below its wanted width, which decays from ten numbers at the oldest gap to one at the newest; of equal ones the oldest.
+    """
+    if limit <= fifo:
+        return list(ids)[-limit:]
+    old, new = (ids[:-fifo], ids[-fifo:]) if fifo else (ids, [])
+    kept = [i for i in old if active is None or active.get(i, 0) > 0] + list(new)
+    while len(kept) > limit:
+        gaps = list(zip(kept, kept[1:]))[: len(kept) - fifo]
+        missing = {end: 10.0 ** (1 - k / (len(kept) - fifo)) - (end - start) for k, (start, end) in enumerate(gaps)}
+        kept.remove(max(missing, key=missing.get))
+    return kept
 
 
 def keyframe_stream(frames: DataFrame, max_keypoints: int = 315, min_kp_ratio: float = 0.7, rot_deg: float = 5.0, gap_sec: float = 6.0,

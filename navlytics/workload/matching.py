@@ -114,12 +114,12 @@ def shared_track_pairs(t):
     return M.shared_tracks(o, "f", "tr", s.where("f % 2 = 0"), s.where("f % 2 = 1"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS id, p_size * 10.0 AS x, p_retailprice / 2 AS y FROM part), q AS (SELECT o_orderkey AS id, o_custkey % 500 AS x, o_orderkey % 499 AS y FROM orders WHERE o_orderstatus = 'P'),
+@query("""WITH p AS (SELECT p_partkey AS id, p_size * 10.0 AS x, p_retailprice / 2 AS y FROM part), q AS (SELECT o_orderkey AS id, o_custkey % 500 AS x, o_orderkey % 499 AS y FROM orders),
 n AS (SELECT q.id AS c, min(greatest(abs(p.x - q.x), abs(p.y - 400 - q.y))) AS d FROM q, p GROUP BY 1)
 SELECT c FROM n WHERE d >= 8 ORDER BY c LIMIT 300""")
 def new_corner_candidates(t):
     p = t.part.select(F.col("p_partkey").alias("e"), F.array(F.col("p_size") * 10.0, F.col("p_retailprice") / 2 - 400).alias("v"))
-    q = t.orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("c"), F.array((F.col("o_custkey") % 500).cast("double"), (F.col("o_orderkey") % 499).cast("double")).alias("v"), F.lit(0).alias("response"))
+    q = t.orders.select(F.col("o_orderkey").alias("c"), F.array((F.col("o_custkey") % 500).cast("double"), (F.col("o_orderkey") % 499).cast("double")).alias("v"), F.lit(0).alias("response"))
     return M.new_corners(q, p, "c", "e", "v", 8.0, "response", 300).select("c")
 
 

@@ -121,9 +121,9 @@ def session_reset(t):
     return s.groupBy("user_id", "session_no").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
 
 
-@query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS dense_id FROM orders WHERE o_orderstatus <> 'P'")
+@query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS dense_id FROM orders")
 def dense_renumbering(t):
-    return dense_ids(t.orders.where("o_orderstatus <> 'P'").select("o_orderkey", "o_totalprice"), "o_totalprice", tie="o_orderkey")
+    return dense_ids(t.orders.select("o_orderkey", "o_totalprice"), "o_totalprice", tie="o_orderkey")
 
 
 @query("""SELECT doc_id, CAST(regexp_extract('cam0/img' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.png' WHEN doc_id % 3 = 1 THEN '.jpeg' ELSE '.jpg' END, '(\\d+)\\.(png|jpg|jpeg)$', 1) AS BIGINT) AS frame_id,

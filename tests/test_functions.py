@@ -88,3 +88,34 @@ def test_full_frame_crop_changes_nothing(spark):
 def test_clipping_and_wrapping(spark):
     r = one(spark, a=V.wrap_rads(F.lit(-math.pi)), b=V.wrap_degs(F.lit(540.0)), c=C.padded_distortion(F.array(F.lit(0.5))))
     assert r.a == pytest.approx(-math.pi) and r.b == -180 and r.c == [0.5] + [0.0] * 7
+
+
+def test_roughness_follows_the_published_equations(spark):
+    """Both orders of the two rays, and equal ones."""
+    import math
+
+    from navlytics.functions.physics import _rough_effective
+
+    theta = math.radians(20)
+
+    def plain(i, e, psi):
+        t = math.tan(theta)
+        x = 1 / math.sqrt(1 + math.pi * t * t)
+        e1, e2 = (lambda a: math.exp(-2 / math.pi / (t * math.tan(a)))), (lambda a: math.exp(-1 / math.pi / (t * math.tan(a)) ** 2))
+        eta = lambda a: x * (math.cos(a) + math.sin(a) * t * e2(a) / (2 - e1(a)))
+        h, f = math.sin(psi / 2) ** 2, math.exp(-2 * math.tan(psi / 2))
+        if i <= e:
+            d = 2 - e1(e) - psi / math.pi * e1(i)
+            m0, m = x * (math.cos(i) + math.sin(i) * t * (math.cos(psi) * e2(e) + h * e2(i)) / d), x * (math.cos(e) + math.sin(e) * t * (e2(e) - h * e2(i)) / d)
+            last = math.cos(i) / eta(i)
+        else:
+            d = 2 - e1(i) - psi / math.pi * e1(e)
+            m0, m = x * (math.cos(i) + math.sin(i) * t * (e2(i) - h * e2(e)) / d), x * (math.cos(e) + math.sin(e) * t * (math.cos(psi) * e2(i) + h * e2(e)) / d)
+            last = math.cos(e) / eta(e)
+        return m0, m, m / eta(e) * math.cos(i) / eta(i) * x / (1 - f + f * x * last)
+
+    rows = [(i, e, psi) for i in (0.2, 0.7, 1.2) for e in (0.2, 0.7, 1.2) for psi in (0.1, 1.5, 3.0)]
+    df = spark.createDataFrame(rows, "i double, e double, psi double")
+    got = df.select("i", "e", "psi", _rough_effective(F.cos("i"), F.cos("e"), F.col("psi"), theta).alias("r")).select("i", "e", "psi", "r.*").collect()
+    for r in got:
+        assert all(abs(a - b) < 1e-9 for a, b in zip((r.mu0, r.mu, r.s), plain(r.i, r.e, r.psi)))

@@ -49,3 +49,10 @@ def test_native_windows_on_a_stream(spark, tmp_path):
     batch = S.session_tracks(spark.read.parquet(str(tmp_path / "in")).dropDuplicates(["id"]), "ts", "s", "6 seconds")
     assert sorted(r.frames for r in batch.collect()) == [10, 10]
     assert q.isStreaming and "start" in q.columns
+
+
+def test_window_drops_idle_keyframes_first():
+    ids = list(range(0, 40, 2))
+    assert S.thin_window(ids, 8, 3, dict.fromkeys(ids[:4], 5)) == [0, 2, 4, 6, 34, 36, 38]
+    kept = S.thin_window(ids, 8, 3, dict.fromkeys(ids, 1))
+    assert kept == S.thin_window(ids, 8, 3) and kept[-2:] == [36, 38] and len(kept) == 8
