@@ -158,14 +158,14 @@ def cubic_at(df: DataFrame, knots: DataFrame, keys: Sequence[str], time: str, kn
     k = Ordered(k, keys, knot_time, knot_time).prefix(
         lead={"__tn": F.col(knot_time), "__vn": F.col(value), "__mn": F.col("__m")})
     # the last knot opens no segment; rows before the first knot use the first segment
-    first = k.groupBy(*keys).agg(F.min_by(F.struct(knot_time, value, "__m", "__tn", "__vn", "__mn"), knot_time).alias("__f")) if keys else None
+    by = list(keys) or ["__one"]  # without keys, the one first segment of all
+    first = k.withColumn("__one", F.lit(1)).groupBy(*by).agg(F.min_by(F.struct(knot_time, value, "__m", "__tn", "__vn", "__mn"), knot_time).alias("__f"))
     seg = k.where("__tn is not null")
     hit = asof_backward(df, seg, keys, time, knot_time, tie, [knot_time, value, "__m", "__tn", "__vn", "__mn"])
-    if first is not None:
-        hit = hit.join(first, list(keys), "left")
-        for c in (knot_time, value, "__m", "__tn", "__vn", "__mn"):
-            hit = hit.withColumn(c, F.coalesce(F.col(c), F.col(f"__f.{c}")))
-        hit = hit.drop("__f")
+    hit = hit.join(first, list(keys), "left") if keys else hit.withColumn("__one", F.lit(1)).join(first, "__one", "left").drop("__one")
+    for c in (knot_time, value, "__m", "__tn", "__vn", "__mn"):
+        hit = hit.withColumn(c, F.coalesce(F.col(c), F.col(f"__f.{c}")))
+    hit = hit.drop("__f")
     h = F.col("__tn") - F.col(knot_time)
     s = (F.col(time) - F.col(knot_time)) / h
     val = ((2 * s**3 - 3 * s**2 + 1) * F.col(value) + (s**3 - 2 * s**2 + s) * h * F.col("__m")

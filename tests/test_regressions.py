@@ -45,3 +45,12 @@ def test_infinite_components_lose_no_match(spark):
         hay = spark.createDataFrame([(odd, [float("inf"), 0.0]), (3 if odd != 3 else 9, [1.0, 2.0]), (4, [4.0, 4.0])], "h long, v array<double>")
         got = {r.n: r.hay_id for r in knn_join(needles, hay, "n", "h", "v").collect()}
         assert got == {1: 3, 2: 4}
+
+
+def test_rows_before_the_first_knot_without_keys(spark):
+    from navlytics.sources.telemetry import cubic_at
+
+    knots = spark.createDataFrame([(float(t), 2.0 * t) for t in range(1, 6)], "kt double, kv double")
+    rows = spark.createDataFrame([(1, 0.0), (2, 2.5), (3, 7.0)], "i long, x double")
+    got = {r.i: r.interp for r in cubic_at(rows, knots, [], "x", "kt", "kv", "i").collect()}
+    assert all(abs(got[i] - x) < 1e-9 for i, x in ((1, 0.0), (2, 5.0), (3, 14.0)))
