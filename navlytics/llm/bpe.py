@@ -23,7 +23,7 @@ GPT_JSON = public_tokenizers.path("byte_bpe_50k.json")
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: The end-of-document id of the packed and stored sequences.
 END_ID = 2
-#: Chunks whose ids a worker remembers; beyond it the memory starts anew.
+#: Chunks whose ids a worker remembers, in two generations of half as many: chunks met again move to the younger one, and the older goes when that is full.
 REMEMBERED = 500_000
 ID = np.dtype("<u4")
 
@@ -47,6 +47,7 @@ class Codec:
         self._line = ID.type(encode_one("\n")[0])
         self._first: dict[str, bytes] = {}
         self._spaced: dict[str, bytes] = {}  # by the chunk without the space before it
+        self._older: dict[str, bytes] = {}  # the generation of such chunks before
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of many chunks by one call: a newline between two characters that are not white space is always an id of its own."""
@@ -63,12 +64,19 @@ class Codec:
                 at = ends[n] + 4
         return out
 
+    def _unmet(self, words: set[str]) -> set[str]:
+        """The words whose ids are not remembered; those of the older generation move to the younger."""
+        words = words.difference(self._spaced)
+        again = words.intersection(self._older)
+        self._spaced.update((w, self._older[w]) for w in again)
+        return words - again
+
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; null counts as empty."""
-        if len(self._first) + len(self._spaced) > REMEMBERED:
-            self._first, self._spaced = {}, {}
+        if len(self._first) + len(self._spaced) > REMEMBERED // 2:
+            self._first, self._spaced, self._older = {}, {}, self._spaced
         cut = [t.split(" ") if t else [] for t in texts]
-        new = set().union(*(c[1:] for c in cut)).difference(self._spaced)
+        new = self._unmet(set().union(*(c[1:] for c in cut)))
         # a chunk that is empty or has white space at an end was cut in the wrong place; such chunks are never remembered as they are
         wrong = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
         odd = {}
@@ -77,7 +85,7 @@ class Codec:
                 cut[i] = c = _CUT.split(" ".join(c))
                 new.update(c[1:])
                 odd[i] = c
-        new = new.difference(self._spaced, wrong)
+        new = self._unmet(new - wrong)
         known = self._learn([*{c[0] for c in cut if c and c[0] not in self._first}, *(" " + w for w in new)])
         self._first.update((c[0], known[c[0]]) for c in cut if c and c[0] in known)
         self._spaced.update((w, known[" " + w]) for w in new)
