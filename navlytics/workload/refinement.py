@@ -11,7 +11,7 @@ from navlytics.functions import vectors as V
 from navlytics.functions.camera import Camera
 from navlytics.operators.nearest import block_best
 from navlytics.plans import adjust as A
-from navlytics.workload.base import FRAMES_SQL, PROJ_SQL, frames, landmarks, observations, projected, q_rot, query, rnd
+from navlytics.workload.base import FRAMES_SQL, PROJ_SQL, frames, landmarks, observations, projected, q_rot, q_ypr, query, rnd
 
 CAM = Camera(640, 480, 500.0, 510.0, 320.0, 240.0)
 
@@ -168,6 +168,46 @@ def essential_matrices(t):
     return j.groupBy("grp").agg(F.count_if(F.col("err") < 0.05).alias("inliers"), F.count(F.lit(1)).alias("n"))
 
 
+_PAIR = f"""v AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part)),
+a AS (SELECT l_suppkey AS pair, count(*) AS n, count(*) FILTER (WHERE (3 * l_partkey + l_suppkey) % 10 >= 3) AS inliers, 4.0::DOUBLE + l_suppkey % 5 AS tx, l_suppkey % 3 - 1.0::DOUBLE AS ty,
+  0.5::DOUBLE * (l_suppkey % 4) AS tz, {q_ypr("radians(l_suppkey % 11 - 5)", "radians(l_suppkey % 7 - 3)", "radians(l_suppkey % 13 - 6)", "q")} FROM v GROUP BY l_suppkey)"""
+
+
+def view_pairs(t):
+    """A pair of views per supplier, of the parts in its line items: (pair, kp_id, x0, y0, x1, y1), three tenths of the second views moved."""
+    k, s = F.col("l_partkey"), F.col("l_suppkey")
+    deg = lambda e: F.radians(e.cast("double"))
+    second = t.lineitem.select("l_suppkey").distinct().select(
+        "l_suppkey", R.from_ypr(deg(s % 11 - 5), deg(s % 7 - 3), deg(s % 13 - 6)).alias("quat"), V.vec(4.0 + s % 5, s % 3 - 1.0, 0.5 * (s % 4)).alias("loc"))
+    d = t.lineitem.select("l_suppkey", "l_partkey").distinct().join(landmarks(t), F.col("kp_id") == k).join(second, "l_suppkey")
+    d = d.withColumn("c", V.add(R.rotate(F.col("quat"), F.col("pt")), F.col("loc")))
+    wrong = (3 * k + s) % 10 < 3
+    off = F.when(k % 2 == 0, 1.0).otherwise(-1.0) * (0.1 + 0.01 * F.pmod(F.hash("kp_id", s), F.lit(37)))
+    return d.select(s.alias("pair"), "kp_id", (F.col("pt.x") / F.col("pt.z")).alias("x0"), (F.col("pt.y") / F.col("pt.z")).alias("y0"),
+                    (F.col("c.x") / F.col("c.z") + F.when(wrong, off / 3).otherwise(0.0)).alias("x1"), (F.col("c.y") / F.col("c.z") + F.when(wrong, off).otherwise(0.0)).alias("y1"))
+
+
+@query(f"""WITH {_PAIR} SELECT pair, n, inliers, inliers AS front, true AS ok, round(qw, 4)+0.0 AS w, round(qx, 4)+0.0 AS x, round(qy, 4)+0.0 AS y, round(qz, 4)+0.0 AS z,
+ round(tx / sqrt(tx*tx+ty*ty+tz*tz), 3)+0.0 AS dx, round(ty / sqrt(tx*tx+ty*ty+tz*tz), 3)+0.0 AS dy, round(tz / sqrt(tx*tx+ty*ty+tz*tz), 3)+0.0 AS dz FROM a""")
+def relative_poses(t):
+    """Rotation and direction between the two views of every supplier's pair, with three tenths of the correspondences wrong; the true poses come back."""
+    from navlytics.plans import twoview
+
+    d = twoview.relative_poses(view_pairs(t), "pair", "kp_id", 1e-6)
+    return d.select("pair", "n", "inliers", "front", "ok", *[rnd(F.col(f"quat.{k}"), 4).alias(k) for k in "wxyz"], *[rnd(F.col(f"dir.{k}"), 3).alias(f"d{k}") for k in "xyz"])
+
+
+@query("""WITH v AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part))
+SELECT l_partkey AS kp_id, count(*) AS total_count, count(*) FILTER (WHERE (3 * l_partkey + l_suppkey) % 10 >= 3) AS inlier_count, max(l_suppkey) FILTER (WHERE (3 * l_partkey + l_suppkey) % 10 >= 3) AS inlier_in
+FROM v GROUP BY 1""")
+def keypoint_counters(t):
+    """How often every landmark was seen in a solved pair of views, how often it agreed, and where last."""
+    from navlytics.plans import twoview
+
+    pairs = view_pairs(t)
+    return twoview.keypoint_counters(pairs, twoview.relative_poses(pairs, "pair", "kp_id", 1e-6), "pair", "kp_id", 1e-6)
+
+
 @query()
 def resection(t):
     """Camera pose of every frame group from landmarks with corrupted views; tested on a small scene."""
