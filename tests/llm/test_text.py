@@ -97,3 +97,9 @@ def test_pages_edge_cases(spark):
     got = sorted((r.n_chars for r in html_text.extract(frame).collect()))
     assert got[0] == 0 and got[-1] == 1_999_999
     assert html_text.extract(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tag", ["p title=it's", 'p data-x=5"', "p 'a", 'p title="a>b" \'', "p title = 'x > y'", 'p href=a?b="c', "p title=", 'p title="it\'s"'])
+def test_a_stray_quote_inside_a_tag_ends_with_the_tag(tag):
+    page = f"<article><{tag}>Hello world.</p><p>Don't lose it.</p><p>Third \"one\".</p></article>"
+    assert [b.text for b in html_text.blocks(page)] == ["Hello world.", "Don't lose it.", 'Third "one".']
