@@ -2,25 +2,22 @@
 
 Both pre-tokenizers used here cut a text before every single space that stands between two characters that are not white
 space, whatever lies around it. So a text falls into chunks that are encoded alone; each task keeps the ids of the
-chunks that it has met, and words that return cost one dictionary lookup. A chunk met for the first time is split into
-pieces by the public pattern and the library's model merges each piece; pieces are remembered, too. Chunks with a
-character that libraries class differently, or with an added token, go through the library's whole encoder.
+chunks that it has met, and words that return cost one dictionary lookup. With a rank file, a chunk met for the first
+time is split into pieces by the public pattern and the library's model merges each piece; pieces are remembered, too.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-import json
 import os
 import re
-import struct
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -30,13 +27,15 @@ MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 END_ID = 2
 #: Chunks whose ids a worker remembers, in two generations of half as many: chunks met again move to the younger one, and the older goes when that is full.
 REMEMBERED = 500_000
-#: Pieces of chunks whose ids a worker remembers, those used least recently going first.
-PIECES = 100_000
+#: Pieces of chunks whose ids a worker remembers before it starts anew.
+PIECES = 150_000
 ID = np.dtype("<u4")
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: What may be encoded in one string with others: no white space but a space before it and single newlines within it.
 _LINES = re.compile(r" ?\S+(?:\n\S+)*")
+#: The public pattern with Python's classes of letters, digits and white space.
+_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -49,13 +48,13 @@ def byte_alphabet() -> dict[int, str]:
 class Codec:
     """Ids of texts and back. ``encode_one`` gives the ids of a string, ``tokens`` the bytes of each id.
 
-    Where pieces can be encoded alone, ``split`` cuts a chunk into them, ``piece`` gives the ids of one, ``same`` says whether a
-    character is classed as by ``encode_one`` and ``added`` finds what only ``encode_one`` knows.
+    Where pieces can be encoded alone, ``merge`` gives the ids of many and ``same`` says whether a character is classed as by ``encode_one``.
     """
 
-    def __init__(self, encode_one: Callable[[str], list[int]], tokens: dict[int, bytes], split=None, piece=None, same=None, added=None):
-        self._one, self._tokens, self._split, self._same, self._added = encode_one, tokens, split, same, added
-        self._piece = functools.lru_cache(PIECES)(piece) if piece else None
+    def __init__(self, encode_one: Callable[[str], list[int]], tokens: dict[int, bytes],
+                 merge: Callable[[list[str]], list[bytes]] | None = None, same: Callable[[str], bool] | None = None):
+        self._one, self._tokens, self._merge, self._same = encode_one, tokens, merge, same
+        self._pieces: dict[str, bytes] = {}
         self._plain: set[str] = set()  # characters found to be the same, and others
         self._strange: set[str] = set()
         self._line = ID.type(encode_one("\n")[0])
@@ -64,25 +63,26 @@ class Codec:
         self._older: dict[str, bytes] = {}  # the generation of such chunks before
 
     def _cuttable(self, word: str) -> bool:
-        """Whether the pieces of a chunk can be encoded alone."""
-        if not self._plain.issuperset(word):
-            for c in set(word) - self._plain - self._strange:
-                (self._plain if self._same(c) else self._strange).add(c)
-            if not self._plain.issuperset(word):
-                return False
-        return not (self._added and self._added(word))
+        """Whether every character of a chunk is classed as in the pattern; new ones are tried."""
+        if self._plain.issuperset(word):
+            return True
+        for c in set(word) - self._plain - self._strange:
+            (self._plain if self._same(c) else self._strange).add(c)
+        return self._plain.issuperset(word)
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of many chunks, by pieces where that can be done."""
-        if self._piece is None:
+        if self._merge is None:
             return self._learn_whole(words)
-        split, piece, out, rest = self._split, self._piece, {}, []
-        for w in words:
-            if self._cuttable(w):
-                out[w] = b"".join(map(piece, split(w)))
-            else:
-                rest.append(w)
-        return out | self._learn_whole(rest) if rest else out
+        if len(self._pieces) > PIECES:
+            self._pieces = {}
+        cut = {w: _PIECE(w) for w in words if self._cuttable(w)}
+        new = [*set(chain.from_iterable(cut.values())).difference(self._pieces)]
+        for k in range(0, len(new), 1024):
+            self._pieces.update(zip(new[k:k + 1024], self._merge(new[k:k + 1024])))
+        get = self._pieces.__getitem__
+        out = {w: b"".join(map(get, p)) for w, p in cut.items()}
+        return out if len(cut) == len(words) else out | self._learn_whole([w for w in words if w not in cut])
 
     def _learn_whole(self, words: list[str]) -> dict[str, bytes]:
         """Ids of many chunks by one call: a newline between two characters that are not white space is always an id of its own."""
@@ -111,27 +111,25 @@ class Codec:
         if len(self._first) + len(self._spaced) > REMEMBERED // 2:
             self._first, self._spaced, self._older = {}, {}, self._spaced
         cut = [t.split(" ") if t else [] for t in texts]
-        head = [c.pop(0) if c else None for c in cut]
-        look = self._spaced.get
-        met = [list(map(look, c)) for c in cut]
-        new = {w for c, m in zip(cut, met) if None in m for w, i in zip(c, m) if i is None}
+        new = self._unmet(set().union(*(c[1:] for c in cut)))
         # a chunk that is empty or has white space at an end was cut in the wrong place; such chunks are never remembered as they are
         wrong = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
-        for i, (h, c) in enumerate(zip(head, cut)):
-            if h is not None and (not h or h[-1].isspace() or wrong and not wrong.isdisjoint(c)):
-                head[i], *cut[i] = _CUT.split(" ".join([h, *c]))
-                met[i] = list(map(look, cut[i]))
-                new.update(cut[i])
+        odd = {}
+        for i, c in enumerate(cut):
+            if c and (not c[0] or c[0][-1].isspace() or wrong and not wrong.isdisjoint(c)):
+                cut[i] = c = _CUT.split(" ".join(c))
+                new.update(c[1:])
+                odd[i] = c
         new = self._unmet(new - wrong)
-        known = self._learn([*{h for h in head if h is not None and h not in self._first}, *(" " + w for w in new)])
-        self._first.update((h, known[h]) for h in head if h in known)
-        # the last chunk of a text may end in white space; it is not remembered
-        self._spaced.update((w, known[" " + w]) for w in new if not w[-1].isspace())
-        ids = []
-        for h, c, m in zip(head, cut, met):
-            if None in m:
-                m = [(look(w) or known.get(" " + w) or self._learn([" " + w])[" " + w]) if i is None else i for w, i in zip(c, m)]
-            ids.append(b"" if h is None else self._first[h] + b"".join(m))
+        known = self._learn([*{c[0] for c in cut if c and c[0] not in self._first}, *(" " + w for w in new)])
+        self._first.update((c[0], known[c[0]]) for c in cut if c and c[0] in known)
+        self._spaced.update((w, known[" " + w]) for w in new)
+        get = self._spaced.__getitem__
+        ids = [self._first[c[0]] + b"".join(map(get, c[1:])) if c and i not in odd else b"" for i, c in enumerate(cut)]
+        for i, c in odd.items():  # their last chunk may end in white space
+            ids[i] = self._first[c[0]] + b"".join(self._spaced.get(w) or known.get(" " + w) or self._learn([" " + w])[" " + w] for w in c[1:])
+        for w in [w for w in new if w[-1].isspace()]:
+            del self._spaced[w]
         return ids
 
     def decode(self, ids: bytes) -> bytes:
@@ -148,31 +146,31 @@ class Codec:
 
 
 def _as_split(pre, c: str) -> bool:
-    """Whether a pre-tokenizer of the library cuts around a character as the pattern does, beside letters, digits and marks."""
+    """Whether a pre-tokenizer of the library cuts around a character as the pattern does, beside letters, digits and marks. Not for the zero byte."""
     probe = f"a{c}a1{c}1-{c}-"
-    return [probe[a:b] for _, (a, b) in pre.pre_tokenize_str(probe)] == _pieces(probe)
+    return c != "\0" and [probe[a:b] for _, (a, b) in pre.pre_tokenize_str(probe)] == _PIECE(probe)
 
 
-_pieces = regex.compile(public_tokenizers.PATTERN).findall
-_CHARS = {b: c for b, c in byte_alphabet().items()}
-
+def _merging(model) -> Callable[[list[str]], list[bytes]]:
+    """Ids of pieces by a model of the library, which reads bytes as characters of the alphabet. The zero byte stands between pieces."""
+    from tokenizers import Tokenizer
 
-def _merged(model) -> Callable[[str], bytes]:
-    """The ids of a piece by the library's model, which reads bytes as characters of the alphabet."""
+    t, chars = Tokenizer(model), byte_alphabet()
+    zero, zero_id = chars[0], ID.type(model.token_to_id(chars[0]))
 
-    def ids(piece: str) -> bytes:
-        found = model.tokenize(piece.encode().decode("latin-1").translate(_CHARS))
-        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+    def ids(pieces: list[str]) -> list[bytes]:
+        parts = [zero] * (2 * len(pieces))
+        parts[::2] = [p.encode().decode("latin-1").translate(chars) for p in pieces]
+        found = np.array(t.encode_batch_fast([parts], is_pretokenized=True, add_special_tokens=False)[0].ids, ID)
+        raw, ends = found.tobytes(), (4 * np.flatnonzero(found == zero_id)).tolist()
+        return [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)]
 
     return ids
 
 
 @functools.cache
 def from_json(path: str) -> Codec:
-    """A byte-level tokenizer file as the tokenizers library reads it, without special tokens being added.
-
-    Pieces are encoded alone if the file has a plain byte-level pre-tokenizer with the public pattern and no normalizer.
-    """
+    """A byte-level tokenizer file as the tokenizers library reads it, without special tokens being added."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
     from tokenizers import Tokenizer
 
@@ -181,17 +179,9 @@ def from_json(path: str) -> Codec:
     tokens = {}
     for word, i in t.get_vocab(with_added_tokens=True).items():
         tokens[i] = bytes(bytes_of[c] for c in word) if all(c in bytes_of for c in word) else word.encode()
-    added = [a for a in t.get_added_tokens_decoder().items()]
-    for i, a in added:
-        tokens[i] = a.content.encode()
-    one = lambda text: t.encode_batch_fast([text], add_special_tokens=False)[0].ids
-    with open(path, encoding="utf-8") as f:
-        pre = (spec := json.load(f))["pre_tokenizer"]
-    plain = pre and pre["type"] == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"] and not spec["normalizer"]
-    if not plain or any(a.lstrip or a.rstrip or a.single_word for _, a in added):
-        return Codec(one, tokens)
-    find = re.compile("|".join(re.escape(a.content) for _, a in added)).search if added else None
-    return Codec(one, tokens, _pieces, _merged(t.model), lambda c: _as_split(t.pre_tokenizer, c), find)
+    for i, added in t.get_added_tokens_decoder().items():
+        tokens[i] = added.content.encode()
+    return Codec(lambda text: t.encode_batch_fast([text], add_special_tokens=False)[0].ids, tokens)
 
 
 @functools.cache
@@ -205,35 +195,32 @@ def from_ranks(path: str) -> Codec:
     """
     import tiktoken
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
+    from tokenizers import Regex, models, pre_tokenizers
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     chars = byte_alphabet()
     word = {t: "".join(chars[b] for b in t) for t in ranks}
     merges = [(word[t[:i]], word[t[i:]]) for t in sorted(ranks, key=ranks.get) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-    t = Tokenizer(models.BPE({word[k]: v for k, v in ranks.items()}, merges, ignore_merges=True))
-    t.pre_tokenizer = pre_tokenizers.Sequence([
-        pre_tokenizers.Split(Regex(public_tokenizers.PATTERN), "isolated"),
-        pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-    t.decoder = decoders.ByteLevel()
+    merged = _merging(models.BPE({word[k]: v for k, v in ranks.items()}, merges, cache_capacity=0, ignore_merges=True))
+    split = pre_tokenizers.Split(Regex(public_tokenizers.PATTERN), "isolated")
     rule = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     single = {bytes([b]): b for b in range(256)}
     # a class of characters as tiktoken sees it: what the pattern leaves out has no ids
-    classes = [(tiktoken.Encoding("class", pat_str=p, mergeable_ranks=single, special_tokens={}), regex.compile(p)) for p in (r"\p{L}", r"\p{N}", r"\s")]
-    merged = _merged(t.model)
+    classes = [(tiktoken.Encoding("class", pat_str=theirs, mergeable_ranks=single, special_tokens={}), re.compile(ours))
+               for theirs, ours in ((r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d"), (r"\s", r"\s"))]
 
     def same(c: str) -> bool:
-        return all(bool(theirs.encode_ordinary(c)) == bool(ours.match(c)) for theirs, ours in classes) and _as_split(t.pre_tokenizer, c)
+        return all(bool(theirs.encode_ordinary(c)) == bool(ours.match(c)) for theirs, ours in classes) and _as_split(split, c)
+
+    def repeats(piece: str) -> bool:
+        raw = piece.encode()
+        return len({raw[i:i + 3] for i in range(len(raw) - 2)}) < len(raw) - 2
 
-    def piece(text: str) -> bytes:
-        raw = text.encode()
-        if len({raw[i:i + 3] for i in range(len(raw) - 2)}) < len(raw) - 2:
-            own = rule.encode_ordinary(text)
-            return struct.pack(f"<{len(own)}I", *own)
-        return merged(text)
+    def merge(pieces: list[str]) -> list[bytes]:
+        return [np.array(rule.encode_ordinary(p), ID).tobytes() if repeats(p) else ids for p, ids in zip(pieces, merged(pieces))]
 
-    return Codec(rule.encode_ordinary, {v: k for k, v in ranks.items()}, _pieces, piece, same)
+    return Codec(rule.encode_ordinary, {v: k for k, v in ranks.items()}, merge, same)
 
 
 def codec(path: str) -> Codec:

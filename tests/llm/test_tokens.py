@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import struct
 import zlib
 
@@ -51,6 +52,19 @@ def test_round_trip(spark):
     assert bpe.round_trip(docs(spark).limit(0)).count() == 0
 
 
+def test_pieces_and_repeats_of_random_texts():
+    """Pieces, characters that libraries class differently, repeats and added tokens against the libraries' plain calls."""
+    rng = random.Random(5)
+    parts = ["a", "b", "é", "я", "東", "\u0558", "\u208f", "\u0301", "1", "\u0663", "²", "_", "'", "'s", "'ll", "'S", "-", "!", " ", " ", "  ", "\n", "\n\n",
+             "\t", "\r\n", "\u0085", "\u00a0", "\u2003", "\x1c", "\0", "🙂", "<|endoftext|>", "the", "aaa", "ababab", "😀😀", "ſ"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(20_000)]
+    for path, plain in ((bpe.GPT_JSON, lambda t: PLAIN.encode(t, add_special_tokens=False).ids), (bpe.MULTI_RANKS, RULE.encode_ordinary)):
+        c = bpe.codec(path)
+        for k in range(0, len(texts), 700):
+            for t, got in zip(texts[k:k + 700], c.encode(texts[k:k + 700])):
+                assert got == u32(plain(t)), t
+
+
 def test_offsets_cover_the_text(spark):
     for r in bpe.encode(docs(spark), bpe.MULTI_RANKS, offsets=True).collect():
         t = TEXTS[r.doc_id] or ""
