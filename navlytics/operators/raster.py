@@ -136,7 +136,7 @@ def bilinear_or_nearest(points: DataFrame, pixels: DataFrame, image: Sequence[st
         good = good.where(F.col(value) < background * 0.999)
     b = bilinear(points, pixels, image, x, y, value, background)
     lost = b.where("interp is null").select(*image, ident, F.col(x).alias("__x"), F.col(y).alias("__y"))
-    order = F.col("row").cast("bigint") * 1_000_000 + F.col("col")
+    order = F.shiftleft(F.col("row").cast("bigint"), 32) + F.col("col")  # row order for columns below 2^32
     hay = good.select(*image, order.alias("__px"), F.col("row").cast("double").alias("__r"), F.col("col").cast("double").alias("__c"), value)
 
     def score(p: pd.DataFrame, q: pd.DataFrame) -> np.ndarray:

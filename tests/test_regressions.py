@@ -54,3 +54,13 @@ def test_rows_before_the_first_knot_without_keys(spark):
     rows = spark.createDataFrame([(1, 0.0), (2, 2.5), (3, 7.0)], "i long, x double")
     got = {r.i: r.interp for r in cubic_at(rows, knots, [], "x", "kt", "kv", "i").collect()}
     assert all(abs(got[i] - x) < 1e-9 for i, x in ((1, 0.0), (2, 5.0), (3, 14.0)))
+
+
+def test_pixels_of_very_wide_images_keep_apart(spark):
+    """The last column of a row over a million pixels wide is another pixel than the first of the next row."""
+    from navlytics.operators.raster import bilinear_or_nearest
+
+    pixels = spark.createDataFrame([(1, 0, 1_000_000, 5.0), (1, 1, 0, 7.0)], "img int, row int, col int, v double")
+    points = spark.createDataFrame([(1, 10, 1_000_002.5, 0.0), (1, 11, 0.0, 3.5)], "img int, id int, x double, y double")
+    got = {r.id: r.interp for r in bilinear_or_nearest(points, pixels, ["img"], "x", "y", "v", "id", 4.0).collect()}
+    assert got == {10: 5.0, 11: 7.0}
