@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from navlytics.functions import rotations as R
 from navlytics.functions import vectors as V
 from navlytics.functions.camera import Camera
-from navlytics.operators.nearest import block_best
+from navlytics.operators.nearest import block_best, fit_cells, sampled_cells
 from navlytics.plans import adjust as A
+from navlytics.session import written
 from navlytics.workload.base import FRAMES_SQL, PROJ_SQL, frames, landmarks, observations, projected, q_rot, q_ypr, query, rnd
 
 CAM = Camera(640, 480, 500.0, 510.0, 320.0, 240.0)
@@ -119,25 +120,98 @@ def mean_orientations(t):
     return d.select("session", *[rnd(F.col(f"quat.{k}"), 5).alias(k) for k in "wxyz"])
 
 
+def _views(x: np.ndarray) -> np.ndarray:
+    """Lines through the origin as points: four times the largest component's axis, and the two others over that one."""
+    axis = np.abs(x).argmax(1)
+    rows = np.arange(len(x))
+    out = np.empty((len(x), 3))
+    out[:, 0] = 4.0 * axis
+    for i, other in enumerate((np.array([1, 0, 0]), np.array([2, 2, 1]))):
+        out[:, 1 + i] = x[rows, other[axis]] / x[rows, axis]
+    return out
+
+
+def _view_boxes(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, lo, hi): boxes in the space of ``_views`` that hold every line meeting a triangle, given as n x 3 corners x 3.
+
+    Corners move outwards a little first. A triangle on both sides of an axis' zero plane gets the whole square of that axis, unless it
+    lies outside of the lines that belong there.
+    """
+    e1, e2 = p[:, 1] - p[:, 0], p[:, 2] - p[:, 0]
+    eps = 1e-5
+    c = np.stack([p[:, 0] - eps * (e1 + e2), p[:, 1] + eps * (2 * e1 - e2), p[:, 2] + eps * (2 * e2 - e1)], 1)
+    rows, los, his = [], [], []
+    for axis, others in enumerate(((1, 2), (0, 2), (0, 1))):
+        own, rest = c[:, :, axis], c[:, :, others]
+        tiny = 1e-9 * np.abs(c).max((1, 2))[:, None]
+        one_side = (own > tiny).all(1) | (own < -tiny).all(1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            q = np.where(one_side[:, None, None], rest / own[:, :, None], 0.0)
+        lo = np.where(one_side[:, None], q.min(1), -1.0) - 1e-6
+        hi = np.where(one_side[:, None], q.max(1), 1.0) + 1e-6
+        edge = np.abs(own)[:, :, None] * (1 + 1e-6) + tiny[:, :, None]
+        outside = (rest > edge).all(1).any(1) | (rest < -edge).all(1).any(1)
+        keep = ~outside & (lo <= 1 + 1e-6).all(1) & (hi >= -1 - 1e-6).all(1)
+        at = np.full((int(keep.sum()), 1), 4.0 * axis)
+        rows.append(np.flatnonzero(keep))
+        los.append(np.hstack([at, lo[keep]]))
+        his.append(np.hstack([at, hi[keep]]))
+    return np.concatenate(rows), np.vstack(los), np.vstack(his)
+
+
+_CORNERS = [f"{a}{i}" for i in range(3) for a in "xyz"]
+
+
 def mesh_ray_errors(rays, faces, ray_id, face_id):
-    """Signed error of the closest hit of each ray from the origin: (ray_id, face_id, score=|err|)."""
+    """Signed error of the closest hit of each ray from the origin: (ray_id, face_id, score=|err|).
+
+    Rays are gathered in cells of like direction; a face meets the cells that it may cover. Of equal faces the one with the least id stays.
+    """
     def score(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
         x = a[["x", "y", "z"]].to_numpy(float)
         p0, p1, p2 = (b[[f"x{i}", f"y{i}", f"z{i}"]].to_numpy(float) for i in range(3))
         ln = np.linalg.norm(x, axis=1)
         d = x / np.maximum(ln, 1e-300)[:, None]
         e1, e2 = p1 - p0, p2 - p0
-        pv = np.cross(d[:, None], e2[None])
-        det = np.einsum("fj,rfj->rf", e1, pv)
+        # the triple products of the intersection, turned so that each is one product with the directions
+        det = d @ np.cross(e2, e1).T
         with np.errstate(divide="ignore", invalid="ignore"):
-            u = np.einsum("fj,rfj->rf", -p0, pv) / det
+            u = d @ np.cross(e2, -p0).T / det
             qv = np.cross(-p0, e1)
             v = d @ qv.T / det
             dist = np.einsum("fj,fj->f", e2, qv)[None] / det
             ok = (ln[:, None] > 1e-6) & (np.abs(det) >= 1e-6) & (u >= -1e-6) & (u <= 1 + 1e-6) & (v >= -1e-6) & (u + v <= 1 + 1e-6)
             return np.where(ok, np.abs(dist - ln[:, None]), np.inf)
 
-    return block_best(rays, faces, ray_id, face_id, score, 1, block_rows=1024)
+    finite = lambda cols: " AND ".join(f"abs({c}) < double('Infinity')" for c in cols)
+    sized = rays.where(finite("xyz")).where("greatest(abs(x), abs(y), abs(z)) > 1e-7")
+
+    @F.pandas_udf("array<double>")
+    def view(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+        return pd.Series(list(_views(np.column_stack([x, y, z]).astype(float))))
+
+    seen = written(sized.withColumn("__v", view("x", "y", "z")), "rays")
+    n = seen.count()
+    if not n:
+        return block_best(seen, faces, ray_id, face_id, score, 1, block_rows=1024)
+    cells = sampled_cells(seen, "__v", n)
+    placed = fit_cells(cells, seen, "__v")
+
+    @F.pandas_udf("array<int>")
+    def covered(*corners: pd.Series) -> pd.Series:
+        p = np.column_stack(corners).astype(float).reshape(-1, 3, 3)
+        out = []
+        for at in range(0, len(p), 256):  # a large face covers many cells
+            row, lo, hi = _view_boxes(p[at : at + 256])
+            box, cell = cells.meeting(lo, hi)
+            order = np.argsort(row[box], kind="stable")
+            out += np.split(cell[order].astype("int32"), np.searchsorted(row[box][order], np.arange(1, len(p[at : at + 256]))))
+        return pd.Series(out)
+
+    kinds = faces.where(finite(_CORNERS)).groupBy(*_CORNERS).agg(F.min(face_id).alias(face_id))
+    spread = kinds.withColumn("cell", F.explode(F.array_distinct(covered(*_CORNERS))))
+    hits = block_best(placed.drop("__v"), spread, ray_id, face_id, score, 1, ["cell"], block_rows=1024, few=True)
+    return hits.drop("cell")
 
 
 _FACE = """f AS (SELECT s_suppkey AS fid, (s_suppkey % 10) * 5.0 - 25 AS x0, (s_suppkey // 10 % 10) * 5.0 - 25 AS y0, 70.0 + s_nationkey AS z0 FROM supplier)"""
