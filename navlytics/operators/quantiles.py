@@ -13,12 +13,26 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from navlytics.operators.skew import HEAVY_SHARE, salted_lookup
+from navlytics.session import written
+
 ACCURACY = 10_000
 _SMALL = ACCURACY
 
 
-def _join(df: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
-    return df.join(stats, list(by), how)
+def _join(df: DataFrame, stats: DataFrame, by: Sequence[str], hot: Sequence = ()) -> DataFrame:
+    if not hot:
+        return df.join(stats, list(by))
+    key = F.xxhash64(*by)
+    return salted_lookup(df.withColumn("__g", key), stats.withColumn("__g", key), "__g", heavy=list(hot), also=tuple(by)).drop("__g")
+
+
+def _hot(counts: DataFrame, by: Sequence[str], count: str) -> list:
+    """Hashes of the groups that hold a large share of the rows."""
+    if not by:
+        return []
+    total = counts.agg(F.sum(count)).first()[0] or 0
+    return [r[0] for r in counts.where(F.col(count) > max(1000.0, total * HEAVY_SHARE)).select(F.xxhash64(*by)).collect()]
 
 
 def _literal(value, dtype: T.DataType) -> Column:
@@ -29,16 +43,21 @@ def _literal(value, dtype: T.DataType) -> Column:
     return F.lit(value).cast(dtype)
 
 
-def with_group_values(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Attach one-row-per-group values; the ungrouped single row becomes literals."""
+def with_group_values(df: DataFrame, stats: DataFrame, by: Sequence[str], hot: Sequence = ()) -> DataFrame:
+    """Attach one-row-per-group values, rows of ``hot`` groups spread; the ungrouped single row becomes literals."""
     if by:
-        return _join(df, stats, by)
+        return _join(df, stats, by, hot)
     row = stats.first()
     return df.withColumns({f.name: _literal(row[f.name], f.dataType) for f in stats.schema.fields})
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """One row per group with linearly interpolated quantiles, NULL values ignored."""
+    return _quantiles(df, by, value, probs)[0]
+
+
+def _quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> tuple[DataFrame, list]:
+    """The quantiles and the hot groups."""
     by = list(by)
     names = list(probs)
     eps = 3.0 / ACCURACY
@@ -48,6 +67,8 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
     sketch = src.groupBy(*by).agg(
         F.count("__v").alias("__cnt"), F.percentile_approx("__v", ask, ACCURACY).alias("__pts")
     )
+    sketch = written(sketch, "sketch")
+    hot = _hot(sketch, by, "__cnt")
     small = F.col("__cnt") <= _SMALL
     idx = list(enumerate(probs.values()))
     limits: list[Column] = []
@@ -56,7 +77,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
         hi = F.when(small | F.lit(p + eps >= 1), F.lit(float("inf"))).otherwise(F.col("__pts")[ask.index(min(1.0, p + eps))])
         limits += [lo.alias(f"__lo{i}"), hi.alias(f"__hi{i}")]
     stats = sketch.select(*by, "__cnt", *limits)
-    rows = with_group_values(src, stats, by)
+    rows = with_group_values(src, stats, by, hot)
     inside = [(F.col("__v") >= F.col(f"__lo{i}")) & (F.col("__v") <= F.col(f"__hi{i}")) for i, _ in idx]
 
     # one map-side combined pass counts what lies below each bracket ...
@@ -87,14 +108,14 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
         F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"),
     ).otherwise(F.col("__a") + F.col("__f") * (F.col("__b") - F.col("__a")))
     flat = picked.select(*by, "__i", value_at.alias("__q"))
-    return flat.groupBy(*by).agg(*[F.max(F.when(F.col("__i") == i, F.col("__q"))).alias(nm) for i, nm in enumerate(names)])
+    return flat.groupBy(*by).agg(*[F.max(F.when(F.col("__i") == i, F.col("__q"))).alias(nm) for i, nm in enumerate(names)]), hot
 
 
 def trimmed(df: DataFrame, by: Sequence[str], value: str, discard_pct: float) -> DataFrame:
     """Rows strictly between the discard_pct and 100-discard_pct percentiles of their group."""
     p = discard_pct / 100.0
-    lim = exact_quantiles(df, by, value, {"__lo": p, "__hi": 1.0 - p})
-    kept = with_group_values(df, lim, by).where((F.col(value) > F.col("__lo")) & (F.col(value) < F.col("__hi")))
+    lim, hot = _quantiles(df, by, value, {"__lo": p, "__hi": 1.0 - p})
+    kept = with_group_values(df, lim, by, hot).where((F.col(value) > F.col("__lo")) & (F.col(value) < F.col("__hi")))
     return kept.drop("__lo", "__hi")
 
 
