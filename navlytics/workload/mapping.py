@@ -9,6 +9,7 @@ from navlytics.functions import vectors as V
 from navlytics.operators.ordered import dense_ids
 from navlytics.operators.spatial import keep_spaced, suppress_greedy
 from navlytics.plans import mapping as M
+from navlytics.session import written
 from navlytics.workload.base import CAM, FRAMES_SQL, LANDMARKS_SQL, OBS_SQL, PROJ_SQL, frames, landmarks, observations, projected, query, rnd
 
 DIAG = 800.0
@@ -186,7 +187,8 @@ SELECT cam_idx, pt_idx, frame_id, kp_id FROM o JOIN f USING (frame_id) JOIN p US
 def ba_args_dense(t):
     """Keyframes, observations and landmarks joined, with consecutive camera and point numbers."""
     k = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("frame_id"))
-    o = t.lineitem.select(F.col("l_orderkey").alias("frame_id"), F.col("l_partkey").alias("kp_id")).distinct().join(k, "frame_id", "left_semi")
+    o = t.lineitem.select(F.col("l_orderkey").alias("frame_id"), F.col("l_partkey").alias("kp_id")).join(k, "frame_id", "left_semi")
+    o = written(o.distinct(), "observations")  # read three times
     f = dense_ids(o.select("frame_id").distinct(), "frame_id", "cam_idx")
     p = dense_ids(o.select("kp_id").distinct(), "kp_id", "pt_idx")
     return o.join(f, "frame_id").join(p, "kp_id").select("cam_idx", "pt_idx", "frame_id", "kp_id")
