@@ -2,7 +2,9 @@
 
 Points are put in square cells whose diagonal is not longer than the distance limit, so any two
 points of a cell are too close to each other.  One representative per cell is then enough on one
-side of every comparison, and each point meets at most 24 neighbour cells.
+side of every comparison.  Points meet the representatives by tiles of 8 x 8 cells: a point goes to
+its own tile only, and a representative to the up to four tiles that its neighbour cells lie in, so a
+tile holds at most 144 of them.
 """
 
 from __future__ import annotations
@@ -11,10 +13,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from navlytics.operators.skew import heavy_keys, salted_lookup
-from navlytics.session import cut_lineage
+from navlytics.operators.skew import heavy_keys
+from navlytics.session import written
 
-_OFFSETS = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if (i, j) != (0, 0)]
+#: Cells of a tile along each axis, as a power of two.
+_TILE = 3
+_SALTS = 64
 
 
 def _cells(df: DataFrame, x: str, y: str, limit: float) -> DataFrame:
@@ -26,22 +30,46 @@ def _cells(df: DataFrame, x: str, y: str, limit: float) -> DataFrame:
     })
 
 
-def _neighbours() -> Column:
-    return F.array(*[
-        F.struct((F.col("__cx") + i).alias("__cx"), (F.col("__cy") + j).alias("__cy")) for i, j in _OFFSETS
-    ])
+def _tile() -> dict[str, Column]:
+    return {"__tx": F.shiftright("__cx", _TILE), "__ty": F.shiftright("__cy", _TILE)}
+
+
+def _around(cells: DataFrame, reach: int = 2) -> DataFrame:
+    """Rows of cells, once for each tile that has a cell at most ``reach`` cells away."""
+    for c, t in (("__cx", "__tx"), ("__cy", "__ty")):
+        ends = [F.shiftright(F.col(c) + d, _TILE) for d in (-reach, reach)]
+        cells = cells.withColumn(t, F.explode(F.sequence(*ends)))
+    return cells
 
 
 def _dist(ax, ay, bx, by) -> Column:
     return F.sqrt((ax - bx) ** 2 + (ay - by) ** 2)
 
 
-def _cell_join(many: DataFrame, one: DataFrame, cell: list[str], points: DataFrame) -> DataFrame:
-    """Join rows with their cell's single row; crowded cells are salted where there are any."""
-    key = F.xxhash64(*cell)
-    if not heavy_keys(points.select(key.alias("__k")), "__k"):
-        return many.join(one, cell)
-    return salted_lookup(many.withColumn("__k", key), one.withColumn("__k", key), "__k", also=tuple(cell)).drop("__k")
+def _crowded(points: DataFrame, img: list[str]) -> list:
+    """Hashes of tiles that hold a large share of the points."""
+    return heavy_keys(points.select(F.xxhash64(*img, *_tile().values()).alias("__k")), "__k")
+
+
+def _tile_join(points: DataFrame, firsts: DataFrame, img: list[str], cond: Column, crowded: list, how: str = "inner") -> DataFrame:
+    """Points with the representatives (columns ``__f...``) about their tile; rows of crowded tiles are spread over salts."""
+    on = [*img, "__tx", "__ty"]
+    p, f = points.withColumns(_tile()), _around(firsts)
+    if crowded:
+        hot = F.xxhash64(*on).isin(crowded)
+        p = p.withColumn("__salt", F.when(hot, F.pmod(F.xxhash64(*points.columns), F.lit(_SALTS))).otherwise(F.lit(0)).cast("int"))
+        f = f.withColumn("__salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))))
+        on.append("__salt")
+    f = f.select(*[F.col(c).alias(f"__on_{i}") for i, c in enumerate(on)], "__cx", "__cy", *[c for c in f.columns if c.startswith("__f")])
+    f = f.withColumnsRenamed({"__cx": "__fcx", "__cy": "__fcy"})
+    for i, c in enumerate(on):
+        cond = (F.col(c) == F.col(f"__on_{i}")) & cond
+    return p.join(f, cond, how)
+
+
+def _firsts(points: DataFrame, cell: list[str], order: str, x: str, y: str) -> DataFrame:
+    """The row with the least ``order`` of each cell as (cell, __fo, __fx, __fy); plain values, so that they are hashed and not sorted."""
+    return points.groupBy(*cell).agg(F.min(order).alias("__fo"), F.min_by(x, order).alias("__fx"), F.min_by(y, order).alias("__fy"))
 
 
 def keep_spaced(df: DataFrame, image: Sequence[str], x: str, y: str, order: str, limit: float) -> DataFrame:
@@ -50,19 +78,15 @@ def keep_spaced(df: DataFrame, image: Sequence[str], x: str, y: str, order: str,
     ``order`` is unique inside an image.  Not iterative, because rejected rows also suppress.
     """
     img = list(image)
-    # of copies at one spot only the earliest can survive, and it suppresses whatever the others do
-    spots = df.groupBy(*img, x, y).agg(F.min(order).alias(order))
-    pts = _cells(spots, x, y, limit)
     cell = [*img, "__cx", "__cy"]
-    first = pts.groupBy(*cell).agg(F.min_by(F.struct(F.col(order).alias("o"), F.col(x).alias("x"), F.col(y).alias("y")), order).alias("__f"))
+    # of copies at one spot only the earliest can survive, and it suppresses whatever the others do
+    spots = df.groupBy(*img, F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.min(order).alias("__o"))
+    pts = _cells(written(spots, "spots"), "__x", "__y", limit)
     # a later point of a cell is always within the limit of the cell's first one
-    seen = pts.select(*img, F.col(order).alias("__o"), F.col(x).alias("__x"), F.col(y).alias("__y"),
-                      F.explode(_neighbours()).alias("__nb")).select(
-        *img, F.col("__nb.__cx").alias("__cx"), F.col("__nb.__cy").alias("__cy"), "__o", "__x", "__y")
-    hit = _cell_join(seen, first, cell, pts).where(
-        (F.col("__o") < F.col("__f.o")) & (_dist(F.col("__x"), F.col("__y"), F.col("__f.x"), F.col("__f.y")) <= limit)
-    ).select(*img, F.col("__f.o").alias(order)).distinct()
-    survivors = first.select(*img, F.col("__f.o").alias(order)).join(hit, [*img, order], "left_anti")
+    first = _firsts(pts, cell, "__o", "__x", "__y")
+    near = (F.col("__o") < F.col("__fo")) & (_dist(F.col("__x"), F.col("__y"), F.col("__fx"), F.col("__fy")) <= limit)
+    hit = _tile_join(pts, first, img, near, _crowded(pts, img)).select(*img, F.col("__fo").alias(order)).distinct()
+    survivors = first.select(*img, F.col("__fo").alias(order)).join(hit, [*img, order], "left_anti")
     return df.join(survivors, [*img, order], "left_semi")
 
 
@@ -71,27 +95,30 @@ def suppress_greedy(df: DataFrame, image: Sequence[str], x: str, y: str, rank: s
 
     ``rank`` is unique inside an image, lower is better.  Each round keeps, in parallel, every
     alive row with no better alive row in reach, which gives the same set as the serial greedy.
+    Rows without an image, place or rank take no part and are not kept.
     """
     img = list(image)
     cell = [*img, "__cx", "__cy"]
+    rows = df.where(F.lit(True) if not img else F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in img)))
+    rows = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(rank).isNotNull())
     # the best of several copies at one spot decides for all of them
-    spots = df.groupBy(*img, F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.min(rank).alias("__r"))
-    alive = _cells(spots, "__x", "__y", limit)
-    alive = cut_lineage(alive)
+    spots = rows.groupBy(*img, F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.min(rank).alias("__r"))
+    columns = [*img, "__r", "__x", "__y"]
+    alive = _cells(written(spots, "alive"), "__x", "__y", limit)
+    crowded = _crowded(alive, img)
+    reach = _dist(F.col("__x"), F.col("__y"), F.col("__fx"), F.col("__fy")) < limit
+    own = (F.col("__cx") == F.col("__fcx")) & (F.col("__cy") == F.col("__fcy"))
     kept: DataFrame | None = None
     while True:
-        best = alive.groupBy(*cell).agg(F.min_by(F.struct("__r", "__x", "__y"), "__r").alias("__f"))
-        around = alive.select(*img, "__r", "__x", "__y", F.explode(_neighbours()).alias("__nb")).select(
-            *img, F.col("__nb.__cx").alias("__cx"), F.col("__nb.__cy").alias("__cy"), "__r", "__x", "__y")
-        reach = _dist(F.col("__x"), F.col("__y"), F.col("__f.__x"), F.col("__f.__y")) < limit
-        beaten = _cell_join(around, best, cell, alive).where(reach & (F.col("__r") < F.col("__f.__r"))).select(*cell).distinct()
-        won = cut_lineage(best.join(beaten, cell, "left_anti"))
+        best = _firsts(alive, cell, "__r", "__x", "__y")
+        beaten = _tile_join(alive, best, img, (F.col("__r") < F.col("__fo")) & reach, crowded)
+        beaten = beaten.select(*img, F.col("__fcx").alias("__cx"), F.col("__fcy").alias("__cy")).distinct()
+        won = written(best.join(beaten, cell, "left_anti").select(*img, "__fo", "__fx", "__fy"), "won")
         kept = won if kept is None else kept.unionByName(won)
-        rest = alive.join(won.select(*cell), cell, "left_anti")
-        near = rest.select(*img, "__r", "__x", "__y", "__cx", "__cy", F.explode(_neighbours()).alias("__nb"))
-        spread = near.select(*img, "__r", "__x", "__y", F.col("__nb.__cx").alias("__cx"), F.col("__nb.__cy").alias("__cy"))
-        gone = _cell_join(spread, won, cell, alive).where(reach).select(*img, "__r").distinct()
-        alive = cut_lineage(rest.join(gone, [*img, "__r"], "left_anti"))
-        if alive.isEmpty():
+        won = _cells(won, "__fx", "__fy", limit)
+        left = _tile_join(alive, won, img, reach | own, crowded, "left_anti").select(*columns)
+        left = written(left, "alive")
+        if left.isEmpty():
             break
-    return df.join(kept.select(*img, F.col("__f.__r").alias(rank)), [*img, rank], "left_semi")
+        alive = _cells(left, "__x", "__y", limit)
+    return df.join(kept.select(*img, F.col("__fo").alias(rank)), [*img, rank], "left_semi")
