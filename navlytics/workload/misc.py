@@ -69,12 +69,18 @@ def seeded_noise(t):
 
 @query(f"""WITH {KP_SQL} SELECT a.img, a.id, count(*) AS n FROM kp a JOIN kp b ON b.img = a.img + 1 AND abs(a.u-b.u) < 20 AND abs(a.v-b.v) < 20 AND sqrt(pow(a.u-b.u,2)+pow(a.v-b.v,2)) < 20 GROUP BY 1, 2""")
 def match_mask_counts(t):
-    """Reference keypoints within reach of each scene keypoint of the next image, by grid cells."""
+    """Reference keypoints within reach of each scene keypoint of the next image, by grid cells.
+
+    Scene keypoints go to their tile of 4 x 4 cells, spots of the next image to the up to four tiles that their neighbour cells lie in.
+    """
     k = keypoints(t).select("img", "id", "u", "v")
     cell = lambda c: F.floor(F.col(c) / 20.0)
-    a = k.withColumn("cx", F.explode(F.array(*[cell("u") + i for i in (-1, 0, 1)]))).withColumn("cy", F.explode(F.array(*[cell("v") + i for i in (-1, 0, 1)])))
+    tile = lambda c: F.shiftright(c, 2)
+    a = k.withColumns({"tx": tile(cell("u")), "ty": tile(cell("v"))})
     # copies of a spot count once with their multiplicity
     b = k.groupBy((F.col("img") - 1).alias("img"), F.col("u").alias("bu"), F.col("v").alias("bv")).agg(F.count(F.lit(1)).alias("m"))
-    b = b.withColumns({"cx": F.floor(F.col("bu") / 20.0), "cy": F.floor(F.col("bv") / 20.0)})
-    j = a.join(b, ["img", "cx", "cy"]).where(F.hypot(F.col("u") - F.col("bu"), F.col("v") - F.col("bv")) < 20)
+    for c, to in (("bu", "tx"), ("bv", "ty")):
+        b = b.withColumn(to, F.explode(F.sequence(tile(cell(c) - 1), tile(cell(c) + 1))))
+    du, dv = F.col("u") - F.col("bu"), F.col("v") - F.col("bv")
+    j = a.join(b, ["img", "tx", "ty"]).where((F.abs(du) < 20) & (F.abs(dv) < 20) & (F.hypot(du, dv) < 20))
     return j.groupBy("img", "id").agg(F.sum("m").alias("n"))
