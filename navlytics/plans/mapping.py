@@ -83,7 +83,7 @@ def keyframe_reason(kp_count: Column, rot_deg: Column, viewpoint_ratio: Column,
 
 def compensated_displacement(pairs: DataFrame, cam: Camera, rel_q: str, u0: str, v0: str, u1: str, v1: str, out: str) -> DataFrame:
     """Pixel distance between a point and its reference view after rotating the reference by rel_q."""
-    d = pairs.withColumn("__r", cam.rotate_pixel(F.col(rel_q), u0, v0))
+    d = cam.rotated_pixel(pairs, F.col(rel_q), u0, v0, "__r")
     return d.withColumn(out, F.hypot(F.col("__r.x") - F.col(u1), F.col("__r.y") - F.col(v1))).drop("__r")
 
 

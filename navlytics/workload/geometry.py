@@ -257,7 +257,7 @@ def undistort_roundtrip(t):
     """distort then undistort returns the ideal pixel."""
     d = projected(t)
     d = d.select("frame_id", "kp_id", CAM.project(d.cam).alias("p"))
-    d = d.select("frame_id", "kp_id", CAM.undistort(d.p.x, d.p.y, 12).alias("q"))
+    d = CAM.undistorted(d, F.col("p.x"), F.col("p.y"), "q", 12)
     return d.select("frame_id", "kp_id", rnd(d.q.x, 2).alias("u"), rnd(d.q.y, 2).alias("v"))
 
 

@@ -101,7 +101,9 @@ def viewpoint_changed(t):
     o = Ordered(d, ["kp_id"], "frame_id", "frame_id").prefix(lag={"u0": F.col("x"), "v0": F.col("y")}).where("u0 is not null")
     o = o.withColumn("rel", R.axis_quat("y", F.radians((F.col("frame_id") % 5 - 2).cast("double"))))
     o = M.compensated_displacement(o, CAM, "rel", "u0", "v0", "x", "y", "px")
-    return o.select("kp_id", "frame_id", F.round(F.col("px") / DIAG, 5).alias("displ")).where(F.col("px") / DIAG > 0.008)
+    # one generator drops and rounds: a filter would be pushed below the projections, with all their expressions written out in it
+    displ = F.col("px") / DIAG
+    return o.select("kp_id", "frame_id", F.explode(F.when(displ > 0.008, F.array(F.round(displ, 5)))).alias("displ"))
 
 
 @query(f"""{PROJ_SQL}, p AS (SELECT frame_id, kp_id, sqrt(pow(cx/cz*500,2)+pow(cy/cz*510,2))/800 AS d FROM proj)
