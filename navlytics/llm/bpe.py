@@ -27,8 +27,10 @@ MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 END_ID = 2
 #: Chunks whose ids a worker remembers, in two generations of half as many: chunks met again move to the younger one, and the older goes when that is full.
 REMEMBERED = 500_000
+#: The same where pieces are remembered, too: chunks met again cost little there, and two workers share an executor's memory with its heap.
+REMEMBERED_BY_PIECES = 150_000
 #: Pieces of chunks whose ids a worker remembers before it starts anew.
-PIECES = 150_000
+PIECES = 75_000
 ID = np.dtype("<u4")
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -54,6 +56,7 @@ class Codec:
     def __init__(self, encode_one: Callable[[str], list[int]], tokens: dict[int, bytes],
                  merge: Callable[[list[str]], list[bytes]] | None = None, same: Callable[[str], bool] | None = None):
         self._one, self._tokens, self._merge, self._same = encode_one, tokens, merge, same
+        self._most = REMEMBERED if merge is None else REMEMBERED_BY_PIECES
         self._pieces: dict[str, bytes] = {}
         self._plain: set[str] = set()  # characters found to be the same, and others
         self._strange: set[str] = set()
@@ -108,7 +111,7 @@ class Codec:
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; null counts as empty."""
-        if len(self._first) + len(self._spaced) > REMEMBERED // 2:
+        if len(self._first) + len(self._spaced) > self._most // 2:
             self._first, self._spaced, self._older = {}, {}, self._spaced
         cut = [t.split(" ") if t else [] for t in texts]
         new = self._unmet(set().union(*(c[1:] for c in cut)))

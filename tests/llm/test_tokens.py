@@ -133,3 +133,16 @@ def test_bins_close_the_fullest():
 @pytest.mark.parametrize("n,want", [(0, []), (1, [(0, 1)]), (1024, [(0, 1024)]), (2500, [(0, 452), (452, 1024), (1476, 1024)])])
 def test_cut(n, want):
     assert packing.cut(n) == want
+
+
+def test_codec_of_a_rank_file_remembers_less():
+    """Two workers beside a heap went over an executor's 3000 MB; what is forgotten is encoded again."""
+    import tiktoken  # noqa: F401
+    from navlytics.llm import bpe
+
+    whole, short = bpe.from_ranks.__wrapped__(bpe.MULTI_RANKS), bpe.from_ranks.__wrapped__(bpe.MULTI_RANKS)
+    assert short._most <= 150_000 < bpe.from_json(bpe.GPT_JSON)._most
+    short._most = 20
+    texts = [" ".join(f"word{i * k % 97} 'twas {i}" for i in range(30)) for k in range(12)]
+    assert [short.encode([t])[0] for t in texts] == whole.encode(texts)
+    assert len(short._first) + len(short._spaced) < len(whole._first) + len(whole._spaced)
