@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -38,6 +39,9 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _LINES = re.compile(r" ?\S+(?:\n\S+)*")
 #: The public pattern with Python's classes of letters, digits and white space.
 _PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+#: Words of Latin letters with marks behind them, over one line or several: every class of characters is one piece, with the space before the first.
+_PLAIN_CHUNK = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+[.,;:!?]*(?:\n[A-Za-zÀ-ÖØ-öø-ɏ]+[.,;:!?]*)*").fullmatch
+_MARKS = re.compile(r"[.,;:!?]+").sub
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -51,16 +55,20 @@ class Codec:
     """Ids of texts and back. ``encode_one`` gives the ids of a string, ``tokens`` the bytes of each id.
 
     Where pieces can be encoded alone, ``merge`` gives the ids of many and ``same`` says whether a character is classed as by ``encode_one``.
+    ``plain`` encodes a text of chunks like ``_PLAIN_CHUNK``, each with a space before it, as ``encode_one`` does.
     """
 
     def __init__(self, encode_one: Callable[[str], list[int]], tokens: dict[int, bytes],
-                 merge: Callable[[list[str]], list[bytes]] | None = None, same: Callable[[str], bool] | None = None):
-        self._one, self._tokens, self._merge, self._same = encode_one, tokens, merge, same
+                 merge: Callable[[list[str]], list[bytes]] | None = None, same: Callable[[str], bool] | None = None,
+                 plain: Callable[[str], list[int]] | None = None):
+        self._one, self._tokens, self._merge, self._same, self._plain_text = encode_one, tokens, merge, same, plain
         self._most = REMEMBERED if merge is None else REMEMBERED_BY_PIECES
         self._pieces: dict[str, bytes] = {}
         self._plain: set[str] = set()  # characters found to be the same, and others
         self._strange: set[str] = set()
         self._line = ID.type(encode_one("\n")[0])
+        self._size = np.zeros(max(tokens) + 1, np.int64)  # bytes of each id
+        self._size[[*tokens]] = [len(b) for b in tokens.values()]
         self._first: dict[str, bytes] = {}
         self._spaced: dict[str, bytes] = {}  # by the chunk without the space before it
         self._older: dict[str, bytes] = {}  # the generation of such chunks before
@@ -102,6 +110,31 @@ class Codec:
                 at = ends[n] + 4
         return out
 
+    def _learn_spaced(self, words: set[str]) -> None:
+        """Remember the ids of chunks with the space before them; none has white space at an end."""
+        if self._merge is not None:
+            known = self._learn([" " + w for w in words])
+            self._spaced.update((w, known[" " + w]) for w in words)
+            return
+        plain = list(filter(_PLAIN_CHUNK, words)) if self._plain_text else []
+        for part, encode in ((plain, self._plain_text), ([*words.difference(plain)], self._one)):
+            for k in range(0, len(part), 1024):
+                some = part[k:k + 1024]
+                self._spaced.update(zip(some, self._learn_joined(some, encode)))
+
+    def _learn_joined(self, words: list[str], encode: Callable[[str], list[int]]) -> list[bytes]:
+        """Ids of chunks as one text, which is cut again where the bytes of its ids add up to a chunk's end."""
+        text = " " + " ".join(words)
+        ids = np.array(encode(text), ID)
+        at = np.cumsum(self._size[ids])
+        ends = np.cumsum([len(w) + 1 for w in words] if text.isascii() else [len(w.encode()) + 1 for w in words])
+        last = np.searchsorted(at, ends)
+        if last[-1] != len(ids) - 1 or (at[last] != ends).any():  # some bytes have no id of their own
+            known = self._learn_whole([" " + w for w in words])
+            return [known[" " + w] for w in words]
+        raw, edges = ids.tobytes(), [0, *(4 * last + 4).tolist()]
+        return [raw[a:b] for a, b in zip(edges, edges[1:])]
+
     def _unmet(self, words: set[str]) -> set[str]:
         """The words whose ids are not remembered; those of the older generation move to the younger."""
         words = words.difference(self._spaced)
@@ -114,25 +147,30 @@ class Codec:
         if len(self._first) + len(self._spaced) > self._most // 2:
             self._first, self._spaced, self._older = {}, {}, self._spaced
         cut = [t.split(" ") if t else [] for t in texts]
-        new = self._unmet(set().union(*(c[1:] for c in cut)))
+        first = [c.pop(0) if c else None for c in cut]
+        got = [list(map(self._spaced.get, c)) for c in cut]  # one lookup a chunk; what is missing is filled in below
+        gaps = [[k for k, x in enumerate(g) if x is None] if None in g else [] for g in got]
+        new = self._unmet({c[k] for c, g in zip(cut, gaps) for k in g})
         # a chunk that is empty or has white space at an end was cut in the wrong place; such chunks are never remembered as they are
-        wrong = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+        wrong = {w for w in new if w != w.strip() or not w}
         odd = {}
         for i, c in enumerate(cut):
-            if c and (not c[0] or c[0][-1].isspace() or wrong and not wrong.isdisjoint(c)):
-                cut[i] = c = _CUT.split(" ".join(c))
-                new.update(c[1:])
-                odd[i] = c
-        new = self._unmet(new - wrong)
-        known = self._learn([*{c[0] for c in cut if c and c[0] not in self._first}, *(" " + w for w in new)])
-        self._first.update((c[0], known[c[0]]) for c in cut if c and c[0] in known)
-        self._spaced.update((w, known[" " + w]) for w in new)
-        get = self._spaced.__getitem__
-        ids = [self._first[c[0]] + b"".join(map(get, c[1:])) if c and i not in odd else b"" for i, c in enumerate(cut)]
-        for i, c in odd.items():  # their last chunk may end in white space
-            ids[i] = self._first[c[0]] + b"".join(self._spaced.get(w) or known.get(" " + w) or self._learn([" " + w])[" " + w] for w in c[1:])
-        for w in [w for w in new if w[-1].isspace()]:
-            del self._spaced[w]
+            if first[i] is not None and (not first[i] or first[i][-1].isspace() or wrong and not wrong.isdisjoint(c)):
+                first[i], *odd[i] = _CUT.split(" ".join([first[i], *c]))
+        if odd:
+            new = self._unmet((new - wrong).union(*odd.values()))
+        tails = {w for w in new if w[-1].isspace()} if odd else set()  # a text's last chunk may end in white space
+        known = self._learn([*{f for f in first if f is not None and f not in self._first}, *(" " + w for w in tails)])
+        self._first.update((f, known[f]) for f in first if f in known)
+        self._learn_spaced(new - tails)
+        ids = []
+        for i, (f, c, g) in enumerate(zip(first, cut, got)):
+            if i in odd:
+                g = [self._spaced.get(w) or known.get(" " + w) or self._learn([" " + w])[" " + w] for w in odd[i]]
+            else:
+                for k in gaps[i]:
+                    g[k] = self._spaced[c[k]]
+            ids.append(self._first[f] + b"".join(g) if f is not None else b"")
         return ids
 
     def decode(self, ids: bytes) -> bytes:
@@ -171,6 +209,25 @@ def _merging(model) -> Callable[[list[str]], list[bytes]]:
     return ids
 
 
+def _plain_text(model) -> Callable[[str], list[int]]:
+    """Ids of a text of plain chunks by a model of the library: its pieces are written in the alphabet with a space between them."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    t, chars = Tokenizer(model), byte_alphabet()
+    t.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+    high = [(chr(b), c) for b, c in chars.items() if b > 127 and c != chr(b)]
+
+    def ids(text: str) -> list[int]:
+        if not text.isascii():
+            text = text.encode().decode("latin-1")
+            for b, c in high:
+                text = text.replace(b, c)
+        text = _MARKS(r" \g<0>", text.replace(" ", " " + chars[32]).replace("\n", f" {chars[10]} "))
+        return t.encode_batch_fast([text[1:]], add_special_tokens=False)[0].ids
+
+    return ids
+
+
 @functools.cache
 def from_json(path: str) -> Codec:
     """A byte-level tokenizer file as the tokenizers library reads it, without special tokens being added."""
@@ -184,7 +241,13 @@ def from_json(path: str) -> Codec:
         tokens[i] = bytes(bytes_of[c] for c in word) if all(c in bytes_of for c in word) else word.encode()
     for i, added in t.get_added_tokens_decoder().items():
         tokens[i] = added.content.encode()
-    return Codec(lambda text: t.encode_batch_fast([text], add_special_tokens=False)[0].ids, tokens)
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    pre = said["pre_tokenizer"] or {}
+    # the words of plain chunks are cut here as this pre-tokenizer cuts them; other files are left to the library
+    gpt = said["normalizer"] is None and said["post_processor"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+    clear = all("<" in a.content for a in t.get_added_tokens_decoder().values())  # so no plain chunk holds one
+    return Codec(lambda text: t.encode_batch_fast([text], add_special_tokens=False)[0].ids, tokens, plain=_plain_text(t.model) if gpt and clear else None)
 
 
 @functools.cache

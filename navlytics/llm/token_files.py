@@ -50,7 +50,8 @@ def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     padded = np.zeros(-(-len(v) // 4) * 4, np.uint8)
     padded[:len(v)] = code
     control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8)
-    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]]
+    width = 2 if len(table) <= 1 << 16 else 4
+    data = v.astype(f"<u{width}").view(np.uint8).reshape(-1, width)[np.arange(width) <= code[:, None]]
     return table[order].astype(ID), control, data
 
 

@@ -146,3 +146,35 @@ def test_codec_of_a_rank_file_remembers_less():
     texts = [" ".join(f"word{i * k % 97} 'twas {i}" for i in range(30)) for k in range(12)]
     assert [short.encode([t])[0] for t in texts] == whole.encode(texts)
     assert len(short._first) + len(short._spaced) < len(whole._first) + len(whole._spaced)
+
+
+def test_chunks_met_first_are_encoded_without_ids_between_them():
+    """What the library is given adds up to the text's own ids, and every text's ids are the library's."""
+    t, c = PLAIN, bpe.from_json.__wrapped__(bpe.GPT_JSON)
+    given = []
+
+    def counted(encode):
+        def run(text):
+            given.append(encode(text))
+            return given[-1]
+
+        return run
+
+    for name in ("_one", "_plain_text"):
+        if getattr(c, name, None):
+            setattr(c, name, counted(getattr(c, name)))
+    text = " ".join(f"w{i}" if i % 3 else "äx" + "ab" * (i // 3 % 40) + chr(97 + i % 26) + ".\nNo" + "st" * (i // 120) for i in range(3000))
+    want = t.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(c.encode([text])[0], bpe.ID).tolist() == want
+    assert sum(map(len, given)) <= len(want)
+    odd = ["", None, " ", "  two  of\n\nthem ", "a<|endoftext|> b.<|endoftext|>", "it's we'll.\nnow!? x², ×y ȑ", "end \n", "tab\tin it\x1c, 中 文。", "\0 \0a Wort.\nWort, Wort"]
+    for _ in range(2):
+        got = [np.frombuffer(x, bpe.ID).tolist() for x in c.encode(odd)]
+        assert got == [t.encode(x or "", add_special_tokens=False).ids for x in odd]
+
+
+def test_token_file_blocks_of_narrow_and_wide_ranks():
+    for n in (0, 1, 200, 300, 70_000):
+        ids = np.concatenate([np.arange(n), np.arange(n) // 2]).astype(bpe.ID)
+        table, control, data = token_files.encode_ids(ids)
+        assert (token_files.decode_ids(len(ids), table, control, data) == ids).all()
