@@ -35,7 +35,7 @@ SMALL, RARE, HUBS = 32, 64, 16
 CLASS = 1.02
 #: Rows of a task after a shuffle, by what they carry: ids, signatures, pairs with signatures, texts. Small rounds then need few tasks.
 ID_ROWS, SIGNED_ROWS, SIGNED_PAIRS, TEXT_ROWS = 50_000, 8192, 8192, 1024
-_SEEN_WORDS = 500_000
+_SEEN_WORDS = 100_000
 
 
 class _Words(dict):

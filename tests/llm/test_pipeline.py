@@ -76,3 +76,13 @@ def test_index_over_batches(spark):
     again = {r.doc_id: r for r in index.add(spark.createDataFrame([(1, "a b"), (2, ""), (3, "new"), (4, "new")], "doc_id long, text string")).collect()}
     assert [(again[i].keep_id, again[i].group_size, again[i].kept) for i in (1, 2, 3, 4)] == [(7, 3, False), (8, 2, False), (3, 2, True), (3, 2, False)]
     assert index.state().count() == 4 and index.add(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_few_hashes_of_words_are_remembered():
+    """A worker keeps them through the stages that follow, beside the tokenizer of the last one."""
+    from navlytics.llm import minhash
+
+    seen = minhash._Words()
+    hashes = [seen[b"%d" % i] for i in range(300_000)]
+    assert len(seen) <= 100_001
+    assert [seen[b"%d" % i] for i in range(300_000)] == hashes
