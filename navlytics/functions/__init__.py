@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def num(x) -> Column:
@@ -33,3 +33,12 @@ def let(value: Column, body) -> Column:
 
 def clip(x, lo, hi) -> Column:
     return F.greatest(F.least(num(x), num(hi)), num(lo))
+
+
+def computed(df: DataFrame, **values: Column) -> DataFrame:
+    """``df`` with further columns that are worked out once a row.
+
+    A generator of one row gives them, since projections of long expressions are merged and repeated by whatever reads them, filters
+    included, until the compiled code is too long to run fast.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(n) for n, v in values.items()]))))

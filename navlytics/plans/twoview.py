@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from navlytics.functions import rotations as R
+from navlytics.functions import computed, rotations as R
 from navlytics.functions import vectors as V
 from navlytics.operators.skew import heavy_keys, salted_lookup
 from navlytics.plans.adjust import epipolar_error, essential_matrix
@@ -36,9 +36,20 @@ def _essentials(x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
 
 def _distances(e: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
     """(trials, rows) first-order distances of rows (rows, 3) from the epipolar constraints."""
-    l1, l0 = x0 @ e.transpose(0, 2, 1), x1 @ e
-    size = np.sqrt(l1[..., 0] ** 2 + l1[..., 1] ** 2 + l0[..., 0] ** 2 + l0[..., 1] ** 2)
-    return np.abs((l1 * x1).sum(2)) / np.maximum(size, 1e-300)
+    a, b = np.ascontiguousarray(x0.T), np.ascontiguousarray(x1.T)  # one plain product per component of the lines
+    u, v, w = (e[:, i] @ a for i in range(3))
+    size = u * u
+    size += v * v
+    for j in (0, 1):
+        line = e[:, :, j] @ b
+        size += line * line
+    u *= b[0]
+    v *= b[1]
+    w *= b[2]
+    u += v
+    u += w
+    np.sqrt(size, out=size)
+    return np.abs(u, out=u) / np.maximum(size, 1e-300, out=size)
 
 
 def trials_needed(inliers: int, n: int, confidence: float) -> float:
@@ -86,25 +97,30 @@ def _dot(a: list[Column], b: list[Column]) -> Column:
     return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
 
 
-def depths(turned: Column, t: Column, x1: Column, y1: Column) -> tuple[Column, Column]:
-    """Depths of a correspondence in both views, in baselines; ``turned`` is the first view's ray in the second's axes. NULL without parallax."""
-    ray, d, seen = [turned[i] for i in range(3)], [t[i] for i in range(3)], [x1, y1, F.lit(1.0)]
-    c = _cross(seen, ray)
-    size = _dot(c, c)
-    return F.try_divide(-_dot(_cross(seen, d), c), size), F.try_divide(-_dot(_cross(ray, d), c), size)
+def with_depths(d: DataFrame, turned: list[str], t: list[str], z0: str, z1: str) -> DataFrame:
+    """``d`` (x1, y1 and others) with the depths of a correspondence in both views, in baselines, as ``z0`` and ``z1``. NULL without parallax.
+
+    ``turned`` names the first view's ray in the second's axes, ``t`` the direction; the cross products are worked out once.
+    """
+    ray, shift, seen = [F.col(c) for c in turned], [F.col(c) for c in t], [F.col("x1"), F.col("y1"), F.lit(1.0)]
+    d = computed(d, **{f"__c{i}": c for i, c in enumerate(_cross(seen, ray))})
+    c = [F.col(f"__c{i}") for i in range(3)]
+    d = computed(d, __size=_dot(c, c), __z0=-_dot(_cross(seen, shift), c), __z1=-_dot(_cross(ray, shift), c))
+    d = d.withColumns({z0: F.try_divide("__z0", "__size"), z1: F.try_divide("__z1", "__size")})
+    return d.drop("__c0", "__c1", "__c2", "__size", "__z0", "__z1")
 
 
-def _in_front(d: DataFrame, max_depth: float) -> list[Column]:
-    """Whether a row lies before both cameras, for the rotations and directions (1, +), (1, -), (2, +), (2, -)."""
+def _in_front(max_depth: float) -> list[Column]:
+    """Whether a row lies before both cameras, for the rotations and directions (1, +), (1, -), (2, +), (2, -), by its depths z01, z11, z02, z12."""
     out = []
-    for turned in ("turned1", "turned2"):
-        z0, z1 = depths(F.col(turned), F.col("t"), F.col("x1"), F.col("y1"))
+    for z0, z1 in ((F.col("z01"), F.col("z11")), (F.col("z02"), F.col("z12"))):
         out += [(s * z0 > 0) & (s * z1 > 0) & (s * z0 < max_depth) & (s * z1 < max_depth) for s in (1.0, -1.0)]
     return [F.coalesce(c, F.lit(False)) for c in out]
 
 
-def _turned(r: Column, first: int) -> Column:
-    return F.array(*[r[first + 3 * i] * F.col("x0") + r[first + 3 * i + 1] * F.col("y0") + r[first + 3 * i + 2] for i in range(3)])
+def _turned(r: Column, first: int, name: str) -> dict[str, Column]:
+    """The first view's ray turned by the nine numbers of an array from ``first`` on, a column per component."""
+    return {f"{name}{i}": r[first + 3 * i] * F.col("x0") + r[first + 3 * i + 1] * F.col("y0") + r[first + 3 * i + 2] for i in range(3)}
 
 
 def relative_poses(pairs: DataFrame, by: str, ident: str, max_err: float, min_inliers: int = 15, min_front: float = 0.75, max_depth: float = 50.0,
@@ -152,12 +168,14 @@ def relative_poses(pairs: DataFrame, by: str, ident: str, max_err: float, min_in
     best = cut_lineage(best.withColumn("rt", split_essential("e")))
 
     d = salted_lookup(rows, best.select(by, "e", "rt"), by, heavy=heavy).where(inlier(F.col("e")))
-    d = d.select(by, "x1", "y1", _turned(F.col("rt"), 0).alias("turned1"), _turned(F.col("rt"), 9).alias("turned2"), F.slice("rt", 19, 3).alias("t"))
-    front = d.groupBy(by).agg(*[F.count_if(c).alias(f"f{i}") for i, c in enumerate(_in_front(d, max_depth))])
+    rt, shift = F.col("rt"), ["t0", "t1", "t2"]
+    d = computed(d.select(by, *_XY, "rt"), **_turned(rt, 0, "a"), **_turned(rt, 9, "b"), t0=rt[18], t1=rt[19], t2=rt[20])
+    d = d.select(by, "x1", "y1", *[f"{v}{i}" for v in "abt" for i in range(3)])
+    d = with_depths(with_depths(d, ["a0", "a1", "a2"], shift, "z01", "z11"), ["b0", "b1", "b2"], shift, "z02", "z12")
+    front = d.groupBy(by).agg(*[F.count_if(c).alias(f"f{i}") for i, c in enumerate(_in_front(max_depth))])
     four = F.array_max(F.array(*[F.struct(F.coalesce(F.col(f"f{i}"), F.lit(0)).alias("votes"), F.lit(-i).alias("minus")) for i in range(4)]))
     out = best.join(front, by, "left").withColumn("four", four)
     second, sign = F.col("four.minus") <= -2, F.when(F.col("four.minus") % 2 == 0, 1.0).otherwise(-1.0)
-    rt = F.col("rt")
     rot = F.when(second, F.slice(rt, 10, 9)).otherwise(F.slice(rt, 1, 9))
     ok = (F.col("inliers") >= min_inliers) & (F.col("four.votes") > min_inliers) & (F.col("four.votes") >= min_front * F.col("inliers"))
     # written, since the quaternion reads every element of the rotation many times
@@ -175,8 +193,9 @@ def keypoint_counters(pairs: DataFrame, poses: DataFrame, by: str, ident: str, m
     m = R.matrix(F.col("quat"))
     good = poses.where("ok").select(by, "e", m.alias("r"), F.array("dir.x", "dir.y", "dir.z").alias("t"))
     d = salted_lookup(pairs.select(by, ident, *_XY), good, by)
-    d = d.withColumn("turned", _turned(F.col("r"), 0))
-    z0, z1 = depths(F.col("turned"), F.col("t"), F.col("x1"), F.col("y1"))
-    close = epipolar_error(F.col("e"), *[F.col(c) for c in _XY]) < max_err
+    t = {f"t{i}": F.col("t")[i] for i in range(3)}
+    d = computed(d, **_turned(F.col("r"), 0, "a"), **t, close=epipolar_error(F.col("e"), *[F.col(c) for c in _XY]) < max_err)
+    d = with_depths(d.select(by, ident, "close", "x1", "y1", *[f"{v}{i}" for v in "at" for i in range(3)]), ["a0", "a1", "a2"], [*t], "z0", "z1")
+    close, z0, z1 = F.col("close"), F.col("z0"), F.col("z1")
     agrees = F.coalesce(close & (z0 > 0) & (z1 > 0) & (z0 < max_depth) & (z1 < max_depth), F.lit(False))
     return d.groupBy(ident).agg(F.count(F.lit(1)).alias("total_count"), F.count_if(agrees).alias("inlier_count"), F.max(F.when(agrees, F.col(by))).alias("inlier_in"))

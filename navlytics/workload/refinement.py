@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from navlytics.functions import rotations as R
+from navlytics.functions import computed, rotations as R
 from navlytics.functions import vectors as V
 from navlytics.functions.camera import Camera
 from navlytics.operators.nearest import block_best, fit_cells, sampled_cells
@@ -254,11 +254,12 @@ def view_pairs(t):
     second = t.lineitem.select("l_suppkey").distinct().select(
         "l_suppkey", R.from_ypr(deg(s % 11 - 5), deg(s % 7 - 3), deg(s % 13 - 6)).alias("quat"), V.vec(4.0 + s % 5, s % 3 - 1.0, 0.5 * (s % 4)).alias("loc"))
     d = t.lineitem.select("l_suppkey", "l_partkey").distinct().join(landmarks(t), F.col("kp_id") == k).join(second, "l_suppkey")
-    d = d.withColumn("c", V.add(R.rotate(F.col("quat"), F.col("pt")), F.col("loc")))
+    d = computed(d, c=V.add(R.rotate(F.col("quat"), F.col("pt")), F.col("loc")))
     wrong = (3 * k + s) % 10 < 3
     off = F.when(k % 2 == 0, 1.0).otherwise(-1.0) * (0.1 + 0.01 * F.pmod(F.hash("kp_id", s), F.lit(37)))
-    return d.select(s.alias("pair"), "kp_id", (F.col("pt.x") / F.col("pt.z")).alias("x0"), (F.col("pt.y") / F.col("pt.z")).alias("y0"),
-                    (F.col("c.x") / F.col("c.z") + F.when(wrong, off / 3).otherwise(0.0)).alias("x1"), (F.col("c.y") / F.col("c.z") + F.when(wrong, off).otherwise(0.0)).alias("y1"))
+    d = computed(d, x0=F.col("pt.x") / F.col("pt.z"), y0=F.col("pt.y") / F.col("pt.z"),
+                 x1=F.col("c.x") / F.col("c.z") + F.when(wrong, off / 3).otherwise(0.0), y1=F.col("c.y") / F.col("c.z") + F.when(wrong, off).otherwise(0.0))
+    return d.select(s.alias("pair"), "kp_id", "x0", "y0", "x1", "y1")
 
 
 @query(f"""WITH {_PAIR} SELECT pair, n, inliers, inliers AS front, true AS ok, round(qw, 4)+0.0 AS w, round(qx, 4)+0.0 AS x, round(qy, 4)+0.0 AS y, round(qz, 4)+0.0 AS z,

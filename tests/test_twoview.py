@@ -81,3 +81,31 @@ def test_trials_follow_the_share_of_inliers():
     assert T.trials_needed(25, 50, 0.99) > T.trials_needed(40, 50, 0.99) > 1
     e = T._essentials(*(np.random.default_rng(0).uniform(-1, 1, (2, 3, 8, 3))))
     np.testing.assert_allclose(np.linalg.svd(e)[1], [[1, 1, 0]] * 3, atol=1e-9)
+
+
+def test_pair_coordinates_are_worked_out_once(spark):
+    """Filters on the coordinates repeated their whole expressions, until the compiled code was too long to run fast."""
+    from types import SimpleNamespace
+
+    from navlytics.workload.refinement import view_pairs
+
+    t = SimpleNamespace(lineitem=spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "l_suppkey long, l_partkey long"),
+                        part=spark.createDataFrame([(1, 3, 901.0), (2, 4, 902.5)], "p_partkey long, p_size int, p_retailprice double"))
+    rows = view_pairs(t).where(" AND ".join(f"abs({c}) < double('infinity')" for c in ("x0", "y0", "x1", "y1")))
+    assert rows.count() == 3
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("pmod(hash(") <= 2 and plan.count("quat#") < 60
+
+
+def test_depths_keep_their_values(spark):
+    rows = [(0.1, 0.2, 1.0, 0.3, -0.1, 1.0, 1.0, 0.0, 0.0), (0.1, 0.2, 0.1, 0.2, 1.0, 1.0, 0.0, 0.0, 1.0), (0.1, None, 0.0, 0.0, 1.0, 1.0, 0.0, 0.0, 1.0)]
+    d = spark.createDataFrame(rows, "x1 double, y1 double, a0 double, a1 double, a2 double, t0 double, t1 double, t2 double, k double")
+    got = T.with_depths(d, ["a0", "a1", "a2"], ["t0", "t1", "t2"], "z0", "z1").collect()
+    for r, x in zip(rows, got):
+        if r[1] is None or r[0] == r[2]:  # without a value, without parallax
+            assert x.z0 is None and x.z1 is None
+            continue
+        seen, ray, t = np.array([r[0], r[1], 1.0]), np.array(r[2:5]), np.array(r[5:8])
+        c = np.cross(seen, ray)
+        assert np.isclose(x.z0, -np.cross(seen, t) @ c / (c @ c)) and np.isclose(x.z1, -np.cross(ray, t) @ c / (c @ c))
+    assert set(got[0].asDict()) == {*d.columns, "z0", "z1"}
