@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding in Arrow batches, with the tokenizers library.
 
 Both pre-tokenizers used here cut a text before every single space that stands between two characters that are not white
-space, whatever lies around it. So a text falls into chunks that are encoded alone; each task keeps the ids of the
-chunks that it has met, and words that return cost one dictionary lookup. With a rank file, a chunk met for the first
-time is split into pieces by the public pattern and the library's model merges each piece; pieces are remembered, too.
+space, whatever lies around it. So a text falls into chunks that are encoded alone. A batch's distinct chunks are found
+and looked up among the remembered ones by Arrow, and the ids of all its texts are gathered at once. With a rank file, a chunk met
+for the first time is split into pieces by the public pattern and the library's model merges each piece; pieces are remembered, too.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -26,7 +27,7 @@ GPT_JSON = public_tokenizers.path("byte_bpe_50k.json")
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: The end-of-document id of the packed and stored sequences.
 END_ID = 2
-#: Chunks whose ids a worker remembers, in two generations of half as many: chunks met again move to the younger one, and the older goes when that is full.
+#: Chunks whose ids a worker remembers; beyond that, the half met last stays.
 REMEMBERED = 500_000
 #: The same where pieces are remembered, too: chunks met again cost little there, and two workers share an executor's memory with its heap.
 REMEMBERED_BY_PIECES = 150_000
@@ -35,15 +36,23 @@ PIECES = 75_000
 ID = np.dtype("<u4")
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_WHITE = "".join(c for c in map(chr, range(1 << 16)) if c.isspace())
+#: A text that may not be cut at every space, for Arrow: some space has white space or an end of the text beside it.
+_ODD = rf"\A | \z|[{_WHITE}] | [{_WHITE}]"
 #: What may be encoded in one string with others: no white space but a space before it and single newlines within it.
 _LINES = re.compile(r" ?\S+(?:\n\S+)*")
 #: The public pattern with Python's classes of letters, digits and white space.
 _PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
 #: Words of Latin letters with marks behind them, over one line or several: every class of characters is one piece, with the space before the first.
-_PLAIN_CHUNK = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+[.,;:!?]*(?:\n[A-Za-zÀ-ÖØ-öø-ɏ]+[.,;:!?]*)*").fullmatch
+_PLAIN = r"[A-Za-zÀ-ÖØ-öø-ɏ]+[.,;:!?]*(?:\n[A-Za-zÀ-ÖØ-öø-ɏ]+[.,;:!?]*)*"
 _MARKS = re.compile(r"[.,;:!?]+").sub
 
 
+def joined(tokens: dict[int, bytes], ids: bytes) -> bytes:
+    """The bytes behind ids."""
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, ID).tolist()))
+
+
 def byte_alphabet() -> dict[int, str]:
     """The public byte-level alphabet: printable Latin-1 stands for itself, the other bytes follow from code point 256."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -51,11 +60,46 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Chunks:
+    """Chunks and their ids in flat arrays, with the turn in which each was met last."""
+
+    def __init__(self):
+        self.words, self.ids = pa.array([], pa.string()), np.empty(0, ID)
+        self.starts, self.counts, self.met = (np.empty(0, np.int64) for _ in range(3))
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def find(self, words: pa.Array, turn: int) -> np.ndarray:
+        """The place of each word, -1 where there is none."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.met[at[at >= 0]] = turn
+        return at
+
+    def add(self, words: pa.Array, ids: np.ndarray, counts: np.ndarray, turn: int) -> None:
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+        self.words, self.ids = pa.concat_arrays([self.words, words]), np.concatenate([self.ids, ids])
+        self.counts, self.met = np.concatenate([self.counts, counts]), np.concatenate([self.met, np.full(len(words), turn)])
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of the words at some places, one behind the other."""
+        counts = self.counts[at]
+        ends = np.cumsum(counts)
+        return self.ids[np.repeat(self.starts[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)], counts
+
+    def keep_last(self, n: int) -> None:
+        """Forget all but the ``n`` words met last."""
+        at = np.sort(np.argsort(-self.met, kind="stable")[:n])
+        words, met = self.words.take(pa.array(at)), self.met[at]
+        ids, counts = self.gather(at)
+        self.words, self.met, self.ids, self.counts, self.starts = words, met, ids, counts, np.cumsum(counts) - counts
+
+
 class Codec:
     """Ids of texts and back. ``encode_one`` gives the ids of a string, ``tokens`` the bytes of each id.
 
     Where pieces can be encoded alone, ``merge`` gives the ids of many and ``same`` says whether a character is classed as by ``encode_one``.
-    ``plain`` encodes a text of chunks like ``_PLAIN_CHUNK``, each with a space before it, as ``encode_one`` does.
+    ``plain`` encodes a text of chunks like ``_PLAIN``, each with a space before it, as ``encode_one`` does.
     """
 
     def __init__(self, encode_one: Callable[[str], list[int]], tokens: dict[int, bytes],
@@ -70,8 +114,8 @@ class Codec:
         self._size = np.zeros(max(tokens) + 1, np.int64)  # bytes of each id
         self._size[[*tokens]] = [len(b) for b in tokens.values()]
         self._first: dict[str, bytes] = {}
-        self._spaced: dict[str, bytes] = {}  # by the chunk without the space before it
-        self._older: dict[str, bytes] = {}  # the generation of such chunks before
+        self._spaced = Chunks()  # by the chunk without the space before it
+        self._turn = 0
 
     def _cuttable(self, word: str) -> bool:
         """Whether every character of a chunk is classed as in the pattern; new ones are tried."""
@@ -110,72 +154,78 @@ class Codec:
                 at = ends[n] + 4
         return out
 
-    def _learn_spaced(self, words: set[str]) -> None:
-        """Remember the ids of chunks with the space before them; none has white space at an end."""
+    def _learn_spaced(self, words: pa.Array) -> np.ndarray:
+        """Remember the ids of new chunks with the space before them; their places."""
         if self._merge is not None:
-            known = self._learn([" " + w for w in words])
-            self._spaced.update((w, known[" " + w]) for w in words)
-            return
-        plain = list(filter(_PLAIN_CHUNK, words)) if self._plain_text else []
-        for part, encode in ((plain, self._plain_text), ([*words.difference(plain)], self._one)):
-            for k in range(0, len(part), 1024):
-                some = part[k:k + 1024]
-                self._spaced.update(zip(some, self._learn_joined(some, encode)))
-
-    def _learn_joined(self, words: list[str], encode: Callable[[str], list[int]]) -> list[bytes]:
-        """Ids of chunks as one text, which is cut again where the bytes of its ids add up to a chunk's end."""
-        text = " " + " ".join(words)
-        ids = np.array(encode(text), ID)
+            parts = [(np.arange(len(words)), lambda some: self._learn_each(some, self._learn))]
+        else:
+            plain = pc.match_substring_regex(words, rf"\A(?:{_PLAIN})\z").to_numpy(zero_copy_only=False) & (self._plain_text is not None)
+            rest = np.flatnonzero(~plain)
+            tail = np.array([w[-1].isspace() for w in words.take(pa.array(rest)).to_pylist()], bool)  # a text's last chunk may end in white space
+            parts = [(np.flatnonzero(plain), lambda some: self._learn_joined(some, self._plain_text)),
+                     (rest[~tail], lambda some: self._learn_joined(some, self._one)), (rest[tail], lambda some: self._learn_each(some, self._learn_whole))]
+        at, n = np.empty(len(words), np.int64), len(self._spaced)
+        learnt = [(k[i:i + 4096], learn) for k, learn in parts for i in range(0, len(k), 4096)]
+        got = [learn(words.take(pa.array(k))) for k, learn in learnt]
+        order = np.concatenate([k for k, _ in learnt])
+        at[order] = n + np.arange(len(words))
+        self._spaced.add(words.take(pa.array(order)), *map(np.concatenate, zip(*got)), self._turn)
+        return at
+
+    def _learn_each(self, words: pa.Array, learn: Callable[[list[str]], dict[str, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        spaced = [" " + w for w in words.to_pylist()]
+        known = learn(spaced)
+        ids = [known[w] for w in spaced]
+        return np.frombuffer(b"".join(ids), ID), np.array([len(x) // 4 for x in ids], np.int64)
+
+    def _learn_joined(self, words: pa.Array, encode: Callable[[str], list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of chunks as one text, which is cut again where the bytes of its ids add up to a chunk's end."""
+        ids = np.array(encode(" " + " ".join(words.to_pylist())), ID)
         at = np.cumsum(self._size[ids])
-        ends = np.cumsum([len(w) + 1 for w in words] if text.isascii() else [len(w.encode()) + 1 for w in words])
+        ends = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)
         last = np.searchsorted(at, ends)
         if last[-1] != len(ids) - 1 or (at[last] != ends).any():  # some bytes have no id of their own
-            known = self._learn_whole([" " + w for w in words])
-            return [known[" " + w] for w in words]
-        raw, edges = ids.tobytes(), [0, *(4 * last + 4).tolist()]
-        return [raw[a:b] for a, b in zip(edges, edges[1:])]
-
-    def _unmet(self, words: set[str]) -> set[str]:
-        """The words whose ids are not remembered; those of the older generation move to the younger."""
-        words = words.difference(self._spaced)
-        again = words.intersection(self._older)
-        self._spaced.update((w, self._older[w]) for w in again)
-        return words - again
-
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+            return self._learn_each(words, self._learn_whole)
+        return ids, np.diff(last, prepend=-1)
+
+    def encode(self, texts: Iterable[str | None] | pa.Array) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; null counts as empty."""
-        if len(self._first) + len(self._spaced) > self._most // 2:
-            self._first, self._spaced, self._older = {}, {}, self._spaced
-        cut = [t.split(" ") if t else [] for t in texts]
-        first = [c.pop(0) if c else None for c in cut]
-        got = [list(map(self._spaced.get, c)) for c in cut]  # one lookup a chunk; what is missing is filled in below
-        gaps = [[k for k, x in enumerate(g) if x is None] if None in g else [] for g in got]
-        new = self._unmet({c[k] for c, g in zip(cut, gaps) for k in g})
-        # a chunk that is empty or has white space at an end was cut in the wrong place; such chunks are never remembered as they are
-        wrong = {w for w in new if w != w.strip() or not w}
-        odd = {}
-        for i, c in enumerate(cut):
-            if first[i] is not None and (not first[i] or first[i][-1].isspace() or wrong and not wrong.isdisjoint(c)):
-                first[i], *odd[i] = _CUT.split(" ".join([first[i], *c]))
-        if odd:
-            new = self._unmet((new - wrong).union(*odd.values()))
-        tails = {w for w in new if w[-1].isspace()} if odd else set()  # a text's last chunk may end in white space
-        known = self._learn([*{f for f in first if f is not None and f not in self._first}, *(" " + w for w in tails)])
-        self._first.update((f, known[f]) for f in first if f in known)
-        self._learn_spaced(new - tails)
-        ids = []
-        for i, (f, c, g) in enumerate(zip(first, cut, got)):
-            if i in odd:
-                g = [self._spaced.get(w) or known.get(" " + w) or self._learn([" " + w])[" " + w] for w in odd[i]]
-            else:
-                for k in gaps[i]:
-                    g[k] = self._spaced[c[k]]
-            ids.append(self._first[f] + b"".join(g) if f is not None else b"")
-        return ids
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        self._turn += 1
+        if len(self._first) > self._most // 2:
+            self._first = {}
+        if len(self._spaced) > self._most:
+            self._spaced.keep_last(self._most // 2)
+        some = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False).to_numpy(zero_copy_only=False)
+        odd = pc.fill_null(pc.match_substring_regex(texts, _ODD), False).to_numpy(zero_copy_only=False) & some
+        even, odd = np.flatnonzero(some & ~odd), np.flatnonzero(odd)
+        cut = pc.split_pattern(texts.take(pa.array(even)), " ")
+        chunks, sizes = cut.flatten(), pc.list_value_length(cut).to_numpy().astype(np.int64)
+        if len(odd):
+            parts = [_CUT.split(t) for t in texts.take(pa.array(odd)).to_pylist()]
+            chunks = pa.concat_arrays([chunks, pa.array(chain.from_iterable(parts), chunks.type)])
+            sizes = np.concatenate([sizes, [len(p) for p in parts]])
+        starts = np.cumsum(sizes) - sizes
+        first = chunks.take(pa.array(starts)).to_pylist()
+        new = [*set(first).difference(self._first)]
+        self._first.update(self._learn(new) if new else {})
+
+        rest = np.ones(len(chunks), bool)
+        rest[starts] = False
+        met = chunks.filter(pa.array(rest)).dictionary_encode()
+        at = self._spaced.find(met.dictionary.cast(pa.string()), self._turn)
+        if len(unmet := np.flatnonzero(at < 0)):
+            at[unmet] = self._learn_spaced(met.dictionary.cast(pa.string()).take(pa.array(unmet)))
+        ids, counts = self._spaced.gather(at[met.indices.to_numpy()])
+        ends = 4 * np.concatenate([[0], np.cumsum(counts)])[np.cumsum(sizes - 1)]
+        raw, out = ids.tobytes(), [b""] * len(texts)
+        for k, f, a, b in zip(np.concatenate([even, odd]).tolist(), first, [0, *ends.tolist()], ends.tolist()):
+            out[k] = self._first[f] + raw[a:b]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes behind the ids. Characters split over several ids come together again here."""
-        return b"".join(map(self._tokens.__getitem__, np.frombuffer(ids, ID).tolist()))
+        return joined(self._tokens, ids)
 
     def offsets(self, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
         """First and past-the-last character (code point) of each id; ids within one character share it."""
@@ -250,6 +300,13 @@ def from_json(path: str) -> Codec:
     return Codec(lambda text: t.encode_batch_fast([text], add_special_tokens=False)[0].ids, tokens, plain=_plain_text(t.model) if gpt and clear else None)
 
 
+@functools.cache
+def ranked(path: str) -> dict[int, bytes]:
+    """The bytes of each id of a file of byte ranks."""
+    with open(path, "rb") as f:
+        return {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+
+
 @functools.cache
 def from_ranks(path: str) -> Codec:
     """A file of byte ranks, run by the tokenizers library.
@@ -263,8 +320,8 @@ def from_ranks(path: str) -> Codec:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Regex, models, pre_tokenizers
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    tokens = ranked(path)
+    ranks = {t: i for i, t in tokens.items()}
     chars = byte_alphabet()
     word = {t: "".join(chars[b] for b in t) for t in ranks}
     merges = [(word[t[:i]], word[t[i:]]) for t in sorted(ranks, key=ranks.get) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
@@ -286,17 +343,20 @@ def from_ranks(path: str) -> Codec:
     def merge(pieces: list[str]) -> list[bytes]:
         return [np.array(rule.encode_ordinary(p), ID).tobytes() if repeats(p) else ids for p, ids in zip(pieces, merged(pieces))]
 
-    return Codec(rule.encode_ordinary, {v: k for k, v in ranks.items()}, merge, same)
+    return Codec(rule.encode_ordinary, tokens, merge, same)
 
 
 def codec(path: str) -> Codec:
     return from_ranks(path) if path.endswith(".tiktoken") else from_json(path)
 
 
+def decoder(path: str) -> Callable[[bytes], bytes]:
+    """Bytes of ids. A rank file needs no encoder for that, which would take a worker's memory beside that of the encoding one."""
+    return functools.partial(joined, ranked(path)) if path.endswith(".tiktoken") else from_json(path).decode
+
+
 def slices(batch: pa.RecordBatch, text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of an Arrow batch with about ``most`` bytes of text each, one row at least, so that a part's ids stay small."""
-    import pyarrow.compute as pc
-
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
     part = (np.cumsum(size) - size) // most
     edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
@@ -316,7 +376,7 @@ def encode(docs: DataFrame, path: str = MULTI_RANKS, id_col: str = "doc_id", tex
         c = codec(path)
         for whole in batches:
             for b in slices(whole, 1):
-                ids = c.encode(b.column(1).to_pylist())
+                ids = c.encode(b.column(1))
                 cols, names = [b.column(0), pa.array(ids, pa.binary())], [id_col, "ids"]
                 if offsets:
                     both = [c.offsets(x) for x in ids]
@@ -334,9 +394,9 @@ def decode(encoded: DataFrame, path: str = MULTI_RANKS, ids_col: str = "ids") ->
     at = others.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        back_of = decoder(path)
         for b in batches:
-            back = [None if x is None else c.decode(x) for x in b.column(at).to_pylist()]
+            back = [None if x is None else back_of(x) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(back, pa.binary())], [*others, "decoded"])
 
     return src.mapInArrow(run, StructType([*src.schema.fields, StructField("decoded", BinaryType())]))

@@ -99,7 +99,7 @@ def pack(docs: DataFrame, path: str = GPT_JSON, capacity: int = CAPACITY, open_b
         for whole in batches:
             arrow = whole.schema.field(0).type
             for b in slices(whole, 1):
-                for doc, ids in zip(b.column(0).to_pylist(), c.encode(b.column(1).to_pylist())):
+                for doc, ids in zip(b.column(0).to_pylist(), c.encode(b.column(1))):
                     ids += end
                     for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                         part = ids[4 * start:4 * (start + length)]

@@ -115,7 +115,7 @@ def write(docs: DataFrame, folder: str | None = None, path: str = GPT_JSON, id_c
                 f = create(name)
                 f.write(MAGIC)
             for b in slices(whole, 1):
-                for doc, ids in zip(b.column(0).to_pylist(), c.encode(b.column(1).to_pylist())):
+                for doc, ids in zip(b.column(0).to_pylist(), c.encode(b.column(1))):
                     ids = np.frombuffer(ids + end, ID)
                     n_docs, n_ids = n_docs + 1, n_ids + len(ids)
                     for k in range(0, len(ids), BLOCK_IDS):

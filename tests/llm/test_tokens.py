@@ -178,3 +178,25 @@ def test_token_file_blocks_of_narrow_and_wide_ranks():
         ids = np.concatenate([np.arange(n), np.arange(n) // 2]).astype(bpe.ID)
         table, control, data = token_files.encode_ids(ids)
         assert (token_files.decode_ids(len(ids), table, control, data) == ids).all()
+
+
+def test_ids_of_a_rank_file_decode_without_its_encoder(monkeypatch):
+    """The decoding worker held a second encoder beside the encoding one's."""
+    ids = bpe.codec(bpe.MULTI_RANKS).encode(["naïve 東京 twice twice"])[0]
+    monkeypatch.setattr(bpe, "from_ranks", None)
+    assert bpe.decoder(bpe.MULTI_RANKS)(ids).decode() == "naïve 東京 twice twice"
+
+
+def test_chunks_are_looked_up_once_a_batch():
+    """Every chunk of every text was looked up alone; what is met again later stays remembered."""
+    c = bpe.from_json.__wrapped__(bpe.GPT_JSON)
+    looked, find = [], bpe.Chunks.find
+    c._spaced.find = lambda words, turn: looked.append(len(words)) or find(c._spaced, words, turn)
+    texts = ["x " + "same words again " * 500, "", None, "y same  words\n", "z again"]
+    got = c.encode(texts)
+    assert got == [u32(PLAIN.encode(t or "", add_special_tokens=False).ids) for t in texts] and looked[0] < 8
+    c._most = 4
+    c.encode(["x again"])
+    c.encode(["x new"])
+    assert "again" in c._spaced.words.to_pylist() and len(c._spaced) <= 4
+    assert c.encode(texts) == got
