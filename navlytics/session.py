@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -63,7 +64,29 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/navlytics-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["navlytics_path"] = path
+    return out
+
+
+def is_written(df: DataFrame) -> bool:
+    return "navlytics_path" in df.__dict__
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``written`` returned, once nothing reads it any more."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df.__dict__["navlytics_path"])
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files and checkpoints of plans that are gone.
+
+    It does so when the driver collects its garbage, which a driver with little to do hardly ever does by itself.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from navlytics.functions import camera as C
+from navlytics.functions import camera as C, computed
 from navlytics.functions import rotations as R
 from navlytics.functions import vectors as V
 
@@ -52,12 +52,14 @@ def micros(c: str) -> Column:
 def frames(t: Tables) -> DataFrame:
     """(frame_id, session, loc, quat): small view rotations, cameras spread over the ground."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return t.orders.select(k.alias("frame_id"), c.alias("session"), *[v.alias(n) for n, v in frame_pose(k, c).items()])
+
+
+def frame_pose(k: Column, c: Column) -> dict[str, Column]:
+    """Pose of the frame of order k and customer c."""
     deg = lambda e: F.radians(e.cast("double"))
-    return t.orders.select(
-        k.alias("frame_id"), c.alias("session"),
-        V.vec((k % 41 - 20).cast("double"), (c % 37 - 18).cast("double"), (k % 7).cast("double")).alias("loc"),
-        R.from_ypr(deg(k % 21 - 10), deg(c % 15 - 7), deg(k % 13 - 6)).alias("quat"),
-    )
+    return {"loc": V.vec((k % 41 - 20).cast("double"), (c % 37 - 18).cast("double"), (k % 7).cast("double")),
+            "quat": R.from_ypr(deg(k % 21 - 10), deg(c % 15 - 7), deg(k % 13 - 6))}
 
 
 def landmarks(t: Tables) -> DataFrame:
@@ -80,6 +82,13 @@ def projected(t: Tables) -> DataFrame:
     return j.withColumn("cam", V.add(R.rotate(F.col("quat"), F.col("pt")), F.col("loc")))
 
 
+def placed(t: Tables, seen: DataFrame) -> DataFrame:
+    """``projected`` of some (frame_id, kp_id, ...) for large tables: rows meet their landmark first and carry their order's keys instead of its pose."""
+    j = seen.join(landmarks(t), "kp_id").join(t.orders.select(F.col("o_orderkey").alias("frame_id"), F.col("o_custkey").alias("session")), "frame_id")
+    j = computed(j, **frame_pose(F.col("frame_id"), F.col("session")))
+    return computed(j, cam=V.add(R.rotate(F.col("quat"), F.col("pt")), F.col("loc")))
+
+
 # ---- the same views as SQL text -------------------------------------------------------------
 
 def q_mul(a: str, b: str) -> list[str]:

@@ -12,7 +12,7 @@ from navlytics.functions.camera import Camera
 from navlytics.operators.nearest import block_best, fit_cells, sampled_cells
 from navlytics.plans import adjust as A
 from navlytics.session import written
-from navlytics.workload.base import FRAMES_SQL, PROJ_SQL, frames, landmarks, observations, projected, q_rot, q_ypr, query, rnd
+from navlytics.workload.base import FRAMES_SQL, PROJ_SQL, frames, landmarks, observations, placed, projected, q_rot, q_ypr, query, rnd
 
 CAM = Camera(640, 480, 500.0, 510.0, 320.0, 240.0)
 
@@ -353,18 +353,20 @@ def camera_calibration(t):
 
     The solve starts from one wrong camera and shifted poses; the true cameras come back.
     """
+    from pyspark.sql import Window as W
+
     from navlytics.functions.vectors import vec
     from navlytics.plans import calibration as K
 
     own = (F.col("session") % 7).alias("cam_id")
-    d = observations(t).join(frames(t).select("frame_id", "session", "quat", "loc"), "frame_id").join(landmarks(t), "kp_id")
-    many = d.groupBy("frame_id").count().where("count >= 4").select("frame_id")
-    d = d.join(many, "frame_id").withColumn("c", V.add(R.rotate(F.col("quat"), F.col("pt")), F.col("loc"))).withColumn("cam", F.col("session") % 7)
-    d = d.withColumns({"x": F.col("c.x") / F.col("c.z"), "y": F.col("c.y") / F.col("c.z")}).withColumn("r2", F.col("x") ** 2 + F.col("y") ** 2)
-    rad = 1 + F.col("r2") * ((-0.12 + 0.01 * F.col("cam")) + F.col("r2") * (0.03 - 0.002 * F.col("cam")))
-    obs = d.select("frame_id", "kp_id", (F.col("x") * rad * (500 + 5 * F.col("cam")) + 320).alias("u"), (F.col("y") * rad * (510 - 4 * F.col("cam")) + 240).alias("v"))
-    poses = frames(t).join(many, "frame_id").select(
-        "frame_id", own, R.compose_rotvecs(vec(0.002, -0.001, 0.001), R.to_rotvec(F.col("quat"))).alias("rot"), V.add(F.col("loc"), vec(0.2, -0.2, 0.3)).alias("loc"))
+    d = placed(t, observations(t).select("frame_id", "kp_id")).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("frame_id"))).where("n >= 4")
+    d = d.withColumn("cam_id", F.col("session") % 7)
+    d = d.withColumns({"x": F.col("cam.x") / F.col("cam.z"), "y": F.col("cam.y") / F.col("cam.z")}).withColumn("r2", F.col("x") ** 2 + F.col("y") ** 2)
+    rad = 1 + F.col("r2") * ((-0.12 + 0.01 * F.col("cam_id")) + F.col("r2") * (0.03 - 0.002 * F.col("cam_id")))
+    obs = written(d.select("frame_id", "kp_id", (F.col("x") * rad * (500 + 5 * F.col("cam_id")) + 320).alias("u"), (F.col("y") * rad * (510 - 4 * F.col("cam_id")) + 240).alias("v")))
+    poses = computed(frames(t).join(obs.select("frame_id").distinct(), "frame_id"), true=R.to_rotvec(F.col("quat")))
+    poses = computed(poses, rot=R.compose_rotvecs(vec(0.002, -0.001, 0.001), F.col("true")))
+    poses = poses.select("frame_id", own, "rot", V.add(F.col("loc"), vec(0.2, -0.2, 0.3)).alias("loc"))
     start = {"fx": 505.0, "fy": 505.0, "cx": 320.0, "cy": 240.0, "k1": 0.0, "k2": 0.0, "p1": 0.0, "p2": 0.0}
     cams = poses.select("cam_id").distinct().select("cam_id", *[F.lit(v).alias(c) for c, v in start.items()])
     res = K.calibrate(obs, poses, landmarks(t), cams, s=A.Settings(huber_px=1e9, ftol=1e-9))
